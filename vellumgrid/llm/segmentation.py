@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units a worker remembers, and the longest one it does.
 CACHE_UNITS, CACHE_LENGTH = 300_000, 24
 _CHUNK, _SLOTS = 4096, 1 << 18
-#: How much less than the lowest regular piece a character of byte pieces scores.
+#: How much less than the lowest piece of one character a character of byte pieces scores.
 PENALTY = 10.0
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
@@ -58,8 +58,7 @@ class Pieces:
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.scores), default=1)
-        regular = [s for p, (_, s) in self.scores.items() if p.strip(SPACE)]
-        self.lowest = min(regular, default=0.0) - PENALTY
+        self.lowest = min((s for p, (_, s) in self.scores.items() if len(p) == 1), default=0.0) - PENALTY
         for p in self.scores:
             inner = p.lstrip(SPACE)
             if SPACE in inner or "\n" in p and len(p) > 1:
