@@ -19,14 +19,14 @@ def _doc() -> WindowSpec:
 def heading_numbers(nodes: DataFrame) -> DataFrame:
     """Numbered headings with `numbers`, their hierarchical counters, and `number_text`, these through the heading's pattern. Headings without numbering neither count nor reset; level 0 counts as 1."""
     h = nodes.where("kind = 'heading' AND numbering IS NOT NULL").withColumn("lvl", scalar.clamp(F.coalesce("level", F.lit(1)), 1, LEVELS))
-    for k in range(1, LEVELS + 1):
-        h = h.withColumn(f"_g{k}", F.count_if(F.col("lvl") < k).over(_doc().rowsBetween(Window.unboundedPreceding, 0)))
-    for k in range(1, LEVELS + 1):
-        w = Window.partitionBy("doc_id", f"_g{k}").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-        h = h.withColumn(f"_c{k}", F.count_if(F.col("lvl") == k).over(w))
-    h = h.withColumn("numbers", F.slice(F.array(*[f"_c{k}" for k in range(1, LEVELS + 1)]), F.lit(1), F.col("lvl")))
+    # A counter is its level's running count less that count where a smaller level last stood; all windows share one order.
+    so_far = _doc().rowsBetween(Window.unboundedPreceding, 0)
+    levels = range(1, LEVELS + 1)
+    h = h.select("*", *[F.count_if(F.col("lvl") == k).over(so_far).alias(f"_n{k}") for k in levels])
+    h = h.select("*", *[F.coalesce(F.last(F.when(F.col("lvl") < k, F.col(f"_n{k}")), True).over(so_far), F.lit(0)).alias(f"_r{k}") for k in levels])
+    h = h.withColumn("numbers", F.slice(F.array(*[F.col(f"_n{k}") - F.col(f"_r{k}") for k in levels]), F.lit(1), F.col("lvl")))
     h = h.withColumn("number_text", scalar.numbering(F.col("numbering"), F.col("numbers")))
-    return h.drop("lvl", *[f"_{x}{k}" for x in "gc" for k in range(1, LEVELS + 1)])
+    return h.drop("lvl", *[f"_{x}{k}" for x in "nr" for k in levels])
 
 
 def figure_numbers(nodes: DataFrame) -> DataFrame:
