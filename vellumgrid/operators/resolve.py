@@ -87,8 +87,8 @@ def resolve_styles(styles: DataFrame, scalars: list[str], maps: tuple[str, ...]
     aggs: list[Column] = [F.expr(f"min_by({c}, depth) FILTER (WHERE {c} IS NOT NULL)").alias(c) for c in scalars]
     aggs += [F.expr(f"min_by({c}, depth) FILTER (WHERE size({c}) > 0)").alias(c) for c in lists]
     for c in maps:
-        nearest = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col(c).alias("m"))))
-        entries = F.flatten(F.transform(nearest, lambda x: F.map_entries(F.coalesce(x["m"], F.create_map().cast("map<string,string>")))))
+        nearest = F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.map_entries(F.coalesce(F.col(c), F.create_map().cast("map<string,string>"))).alias("m"))))
+        entries = F.flatten(F.transform(nearest, lambda x: x["m"]))
         kept = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["key"] == e["key"]))
         aggs.append(F.map_from_entries(kept).alias(c))
     aggs.append(F.bool_or("cyclic").alias("cyclic"))
