@@ -36,11 +36,13 @@ from vellumgrid.llm._shared import table
 SPACE = "▁"
 N_BEST = 4
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Units a worker remembers, and the longest one it does.
-CACHE_UNITS, CACHE_LENGTH = 300_000, 24
+#: Units in a generation of those that a worker remembers (it keeps two), and the longest one that Viterbi takes in bulk.
+CACHE_UNITS, CACHE_LENGTH = 200_000, 24
 _CHUNK, _SLOTS = 4096, 1 << 18
 #: How much less than the lowest regular piece a character of byte pieces scores.
 PENALTY = 10.0
+#: What this worker has learnt, by model.
+_WORKER: dict = {}
 _UNIT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -54,6 +56,7 @@ class Pieces:
     longest: int = 0
     lowest: float = 0.0
     cache: dict = field(default_factory=dict, repr=False)
+    old: dict = field(default_factory=dict, repr=False)
     lookup: object = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
@@ -66,7 +69,7 @@ class Pieces:
                 raise ValueError(f"piece {p!r} crosses a unit's bound")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "lookup": None}
+        return self.__dict__ | {"cache": {}, "old": {}, "lookup": None}
 
 
 def read_model(path: str = MODEL) -> Pieces:
@@ -222,10 +225,12 @@ def _slow(unit: str, v: Pieces) -> tuple[float, float, tuple[int, ...]]:
 
 def learn(units: set[str], v: Pieces) -> None:
     """Puts what n_best() needs of the units into the cache."""
+    if len(v.cache) > CACHE_UNITS:  # two generations: what is still in use moves on to the new one
+        v.old, v.cache = v.cache, {}
     new = units - v.cache.keys()
-    if len(v.cache) + len(new) > CACHE_UNITS:
-        v.cache.clear()
-        new = units
+    known = new & v.old.keys()
+    v.cache.update((u, v.old[u]) for u in known)
+    new -= known
     if v.lookup is None:
         v.lookup = _Lookup.of(v)
     by_length: dict[int, list[str]] = {}
@@ -298,14 +303,14 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
             piece_bytes[i] = bytes([b])
         space, get = SPACE.encode(), piece_bytes.__getitem__
         # A worker runs many tasks: what it remembers goes on while the model is the same.
-        kept = globals().setdefault("_WORKER_CACHES", {})
-        model.cache = kept.setdefault((len(model.by_id), model.lowest, hash(tuple(model.by_id))), {})
+        key = (len(model.by_id), model.lowest, hash(tuple(model.by_id)))
+        learnt = _WORKER.setdefault(key, model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 250):
-                batch = whole.slice(at, 250)
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
                 flat, sizes, scores, others, same = [], [], [], [], []
                 texts = batch.column(1).to_pylist()
-                for text, (first, *rest) in zip(texts, segment(texts, model, n), strict=True):
+                for text, (first, *rest) in zip(texts, segment(texts, learnt, n), strict=True):
                     ids = first[1][0][2]
                     flat.append(np.fromiter(ids, np.int32, len(ids)))
                     sizes.append(len(ids))
