@@ -5,14 +5,18 @@ number) has a Jaccard similarity of THRESHOLD or more with it, removed or not; o
 or more take part. Equal sets are one class first, so that copies meet in a pre-aggregated group and never in pairs.
 
 Classes are joined by prefix filtering: tokens are ordered by rarity, two similar sets share one of their first
-n - ceil(t n) + 1 tokens, and what meets on such a token is filtered by length, by the position of the shared token
-and by the parity bitmaps of the sets (their differing bits bound the symmetric difference from below), then
-verified on the words themselves. The order is that of a count sketch over all lines: a fixed table of 2^20 buckets,
-so it is bounded whatever the vocabulary; any total order is exact, and a bucket shared by chance costs candidates only.
+n - ceil(t n) + 1 tokens (the prefix), and what meets on such a token is filtered by length, by the position of the
+shared token and by the parity bitmaps of the sets (their differing bits bound the symmetric difference from below),
+then verified on the whole sets, hashed anew from the text. The order is that of a count sketch over all lines, a table of fixed size
+whatever the vocabulary: any total order is exact, and a bucket shared by chance costs candidates only. A frequent
+token is no key of its own: with prefixes one token longer two similar sets share two tokens, so that it is paired
+with each token after it, which splits its group.
 
-A class needs one witness. So each class is first compared with the earliest class of each of its token groups, which
-settles the members of large groups of near copies in linear work; only classes without a witness are then joined
-with all earlier ones.
+A class needs one witness. So in a large token group a class is first compared with the group's earliest one; only
+where that one doesn't pass the filters, or fails on the words, are the other earlier ones looked at. Members of a
+large group of near copies are thus settled in linear work.
+
+Words are told apart by 64 bits of hash (one function for candidates, XXH64 for the verdict), sets by 128.
 
 Defined results: lines of fewer words, blank ones included, stay; a null text stays null; rows that share a doc_id
 are one document, and what is decided for a line number holds for each of them; a document whose lines all go keeps
@@ -22,100 +26,244 @@ clash, as internal names begin with an underscore and only doc_id and text are l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 from vellumgrid.llm._shared import BREAK, LOWER, UPPER, drop, materialise, small, table
 
-THRESHOLD_PER_CENT, MIN_TOKENS, SKETCH_BITS = 80, 5, 20
-_LEVELS = 120
+THRESHOLD_PER_CENT, MIN_TOKENS, SKETCH_BITS = 80, 5, 18
+#: A token whose bucket counts more occurrences than this is paired.
+FREQUENT = 20_000
+#: Token groups up to this size are compared whole; in larger ones the earliest class goes first.
+WHOLE_GROUP = 64
+_CHUNK, _LEVELS, _DOCS = 1 << 12, 120, 400
+_LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
+_TO_LOWER = np.frombuffer(_LOWER, np.uint8)
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS: list[np.ndarray] = []
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_distinct(F.array_remove(F.split(F.translate(line, UPPER, LOWER), BREAK), ""))
+def _mix(h: np.ndarray, k: int) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(k)
+    return h ^ (h >> np.uint64(29))
+
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(n, 1 << 20)
+        _POWERS[:] = [np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64)))) for x in (_BASE, _INVERSE)]
+    return _POWERS[0][:n], _POWERS[1]
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of texts cut at newlines."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line_no", "line"))
 
+def token_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """(line, hash) of every word of the texts, lines counted through all of them, and each text's number of lines."""
+    raw = [(t or "").encode("utf-8", "replace") for t in texts]
+    a = _TO_LOWER[np.frombuffer(b"\n".join(raw), np.uint8)]
+    space = _SPACE[a]
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).astype(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    power, inverse = _powers(len(a))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(a * power)))
+    h = _mix((total[ends] - total[starts]) * inverse[starts], 0xBF58476D1CE4E5B9)
+    return np.searchsorted(np.flatnonzero(a == 10), starts), h, [r.count(b"\n") + 1 for r in raw]
 
-def _sketch(df: DataFrame, hashes: str) -> bytes:
-    """A level from 0 to 119 for each bucket of token hashes, growing with the logarithm of its count over all rows. The counts are summed over the cluster; 2^20 bytes reach the driver."""
-    size, chunk = 1 << SKETCH_BITS, 1 << 12
-    counts = df.select(F.explode(hashes).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(size - 1)).alias("b")).count()
 
-    def packed(key: tuple, t: pa.Table) -> pa.Table:
-        level = np.zeros(chunk, np.uint8)
-        level[t["b"].to_numpy() % chunk] = np.minimum(_LEVELS - 1, np.log(t["count"].to_numpy() + 1.0) * 4)
-        return pa.table({"k": pa.array([key[0].as_py()], pa.int64()), "v": pa.array([level.tobytes()], pa.binary())})
+def _sketch(docs: DataFrame) -> np.ndarray:
+    """A level from 0 to 119 for each bucket of token hashes, growing with the logarithm of its count over all rows. Tasks count for themselves; 2^18 bytes reach the driver."""
+    size = 1 << SKETCH_BITS
 
-    rows = counts.withColumn("k", F.shiftright("b", 12)).groupBy("k").applyInArrow(packed, "k long, v binary").collect()
-    out = bytearray(size)
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _DOCS):
+                _, h, _ = token_hashes(batch.column(0).slice(at, _DOCS).to_pylist())
+                n += np.bincount((h & np.uint64(size - 1)).astype(np.int64), minlength=size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size // _CHUNK), pa.int32()), pa.array([n[k : k + _CHUNK].tobytes() for k in range(0, size, _CHUNK)], pa.binary())], ["k", "v"])
+
+    def summed(key: tuple, t: pa.Table) -> pa.Table:
+        n = np.sum([np.frombuffer(x, np.int64) for x in t["v"].to_pylist()], axis=0)
+        return pa.table({"k": pa.array([key[0].as_py()], pa.int32()), "v": pa.array([np.minimum(_LEVELS - 1, np.log(n + 1.0) * 4).astype(np.uint8).tobytes()], pa.binary())})
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(counted, "k int, v binary").groupBy("k").applyInArrow(summed, "k int, v binary").collect()
+    out = np.zeros(size, np.uint8)
     for r in rows:
-        out[r.k * chunk : (r.k + 1) * chunk] = r.v
-    return bytes(out)
-
-
-def _classes(docs: DataFrame, per_cent: int, min_tokens: int) -> DataFrame:
-    """One row for each distinct token set: (doc, line_no, line) of its first occurrence, n tokens, its prefix of order keys, a parity bitmap."""
-    one = lines(docs).withColumn("h", F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t))).where(F.size("h") >= min_tokens)
-    level = _sketch(one, "h")
-    one = one.withColumn("s", F.sort_array("h"))
-    rank = F.struct("doc_id", "line_no", "line")
-    first = one.groupBy(F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2")).agg(F.min(rank).alias("r")).select("r.*")
-    first = first.withColumn("h", F.transform(_tokens(F.col("line")), lambda t: F.xxhash64(t)))
-    table_of = F.lit(bytearray(level))
-    # The order key: the bucket's level, then the hash.
-    key = lambda h: F.shiftleft(F.ascii(F.substring(table_of, (h.bitwiseAND(F.lit((1 << SKETCH_BITS) - 1)) + 1).cast("int"), F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-    first = first.withColumn("n", F.size("h"))
-    first = first.withColumn("prefix", F.slice(F.sort_array(F.transform("h", key)), F.lit(1), F.col("n") - F.ceil(F.col("n") * per_cent / 100).cast("int") + 1))
-    bits = F.expr("aggregate(h, 0L, (a, x) -> a ^ shiftleft(1L, cast(shiftrightunsigned(x, 58) AS int)))")
-    first = first.withColumn("bits", bits).withColumn("id", F.monotonically_increasing_id())
-    return materialise(first.select("id", F.col("doc_id").alias("doc"), "line_no", "line", "n", "bits", "prefix"))
-
-
-def _may_match(a: str, b: str, t: int) -> Column:
-    """Length, position and bitmap filters for the sets a and b that share the token at positions pos of their prefixes."""
-    need = f"ceil({t} * ({a}.n + {b}.n) / {100 + t})"
-    return F.expr(
-        f"100 * {a}.n >= {t} * {b}.n AND 100 * {b}.n >= {t} * {a}.n AND 1 + least({a}.n - {a}.pos, {b}.n - {b}.pos) - 1 >= {need}"
-        f" AND bit_count({a}.bits ^ {b}.bits) <= {a}.n + {b}.n - 2 * {need}"
-    )
-
-
-def _verified(pairs: DataFrame, classes: DataFrame, t: int) -> DataFrame:
-    """Pairs (a, b) whose words have the similarity."""
-    pairs = materialise(pairs)
-    used = materialise(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    texts = materialise(classes.select("id", "line").join(small(used, used.count()), "id", "left_semi"))
-    x, y = texts.select(F.col("id").alias("a"), F.col("line").alias("la")), texts.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    full = pairs.join(x, "a").join(y, "b").withColumn("ta", _tokens(F.col("la"))).withColumn("tb", _tokens(F.col("lb")))
-    both = F.size(F.array_intersect("ta", "tb"))
-    out = materialise(full.where(100 * both >= t * (F.size("ta") + F.size("tb") - both)).select("a", "b"))
-    for df in (pairs, used, texts):
-        drop(df)
+        out[r.k * _CHUNK : (r.k + 1) * _CHUNK] = np.frombuffer(r.v, np.uint8)
     return out
 
 
-def kept_lines(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int = MIN_TOKENS) -> DataFrame:
-    """(doc_id, line_no) of the lines of min_tokens distinct words or more that stay."""
-    classes = _classes(docs, per_cent, min_tokens)
-    one = classes.select("id", "doc", "line_no", "n", "bits", F.posexplode("prefix").alias("pos", "tok"))
-    earliest = Window.partitionBy("tok").orderBy(F.col("doc").asc_nulls_first(), "line_no", "id")
-    lead = one.withColumn("l", F.first(F.struct("id", "n", "bits", "pos")).over(earliest)).withColumn("x", F.struct("n", "bits", "pos"))
-    pairs = lead.where((F.col("id") != F.col("l.id")) & _may_match("x", "l", per_cent)).select(F.col("id").alias("a"), F.col("l.id").alias("b")).distinct()
-    settled = _verified(pairs, classes, per_cent).select(F.col("a").alias("id")).distinct()
-    settled = materialise(settled)
+_LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc", pa.int64()), ("line_no", pa.int32()), ("n", pa.int32()), ("bits", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int16()))])
+
+
+def line_sets(docs: list[int | None], texts: list[str | None], level: np.ndarray, per_cent: int, min_tokens: int, frequent: int = FREQUENT) -> pa.RecordBatch:
+    """A row of _LINES for each line that takes part."""
+    line, h, counts = token_hashes(texts)
+    lvl = level[(h & np.uint64(len(level) - 1)).astype(np.int64)].astype(np.uint64)
+    key = (lvl << np.uint64(57)) | (h >> np.uint64(7))
+    packed = (line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20))
+    order = np.argsort(packed)
+    s = packed[order]
+    if np.any((s[1:] == s[:-1]) & (h[order][1:] != h[order][:-1])):  # a tie of different tokens: the full order
+        order = np.lexsort((h, key, line))
+    line, h, lvl = line[order], h[order], lvl[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    line, h, lvl = line[first], h[first], lvl[first]
+    n = np.bincount(line, minlength=sum(counts))
+    take = n[line] >= min_tokens
+    line, h, lvl = line[take], h[take], lvl[take]
+    own, start = np.unique(line, return_index=True)
+    if not len(own):
+        return pa.RecordBatch.from_pylist([], schema=_LINES)
+    n = n[own]
+    h1, h2 = (np.add.reduceat(_mix(h, k), start).view(np.int64) for k in (0x94D049BB133111EB, 0xD6E8FEB86659FD93))
+    bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)
+    prefix = n - -(-n * per_cent // 100) + 1
+    row = np.repeat(np.arange(len(own)), n)
+    place = np.arange(len(h)) - start[row]
+    often = lvl >= np.uint64(min(_LEVELS - 1, int(np.log(frequent + 1.0) * 4)))
+    single = np.flatnonzero((place < prefix[row]) & ~often)
+    heads = np.flatnonzero((place < prefix[row]) & often)
+    after = np.minimum(prefix[row[heads]] + 1, n[row[heads]]) - 1 - place[heads]
+    head = np.repeat(heads, after)
+    tail = head + 1 + np.arange(len(head)) - np.repeat(np.cumsum(after) - after, after)
+    keys = np.concatenate((_mix(h[single], 0xFF51AFD7ED558CCD), _mix(h[head] * np.uint64(31) + _mix(h[tail], 0xC4CEB9FE1A85EC53), 0x2545F4914F6CDD1D))).view(np.int64)
+    owner, at = np.concatenate((row[single], row[head])), np.concatenate((place[single], place[head])).astype(np.int16)
+    by = np.argsort(owner, kind="stable")
+    offsets = pa.array(np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(own))))).astype(np.int32))
+    line_starts = np.concatenate(([0], np.cumsum(counts)))
+    doc = np.searchsorted(line_starts, own, "right") - 1
+    return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([docs[k] for k in doc.tolist()], pa.int64()), pa.array((own - line_starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bits), pa.ListArray.from_arrays(offsets, pa.array(keys[by])), pa.ListArray.from_arrays(offsets, pa.array(at[by]))], schema=_LINES)
+
+
+def _classes(docs: DataFrame, per_cent: int, min_tokens: int, frequent: int = FREQUENT) -> DataFrame:
+    """One row for each distinct set: the place (doc, line_no) of its first line, an id, n, bits, keys and places of its prefix."""
+    level = _sketch(docs)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _DOCS):
+                part = batch.slice(at, _DOCS)
+                yield line_sets(part.column(0).to_pylist(), part.column(1).to_pylist(), level, per_cent, min_tokens, frequent)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sets, "h1 long, h2 long, doc long, line_no int, n int, bits long, keys array<long>, places array<short>")
+    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line_no", "n", "bits", "keys", "places")).alias("r")).select("r.*")
+    return materialise(first.withColumn("id", F.monotonically_increasing_id()))
+
+
+def _need(na, nb, t: int):
+    """The least overlap of sets of these sizes at the similarity."""
+    return -(-t * (na + nb) // (100 + t))
+
+
+def _passes(a: dict, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
+    """Which of the rows i and j, that share a key, pass the length, position and bitmap filters."""
+    na, nb = a["n"][i], a["n"][j]
+    need = _need(na, nb, t)
+    ok = (100 * na >= t * nb) & (100 * nb >= t * na)
+    ok &= np.minimum(na - a["place"][i], nb - a["place"][j]) >= need
+    return ok & (np.bitwise_count((a["bits"][i] ^ a["bits"][j]).view(np.uint64)) <= na + nb - 2 * need)
+
+
+def _group_pairs(t: int, whole_group: int = WHOLE_GROUP):
+    """Candidates of rows sorted by (key, doc, line_no, id). Groups run on from batch to batch."""
+    names = ["key", "id", "n", "bits", "place"]
+
+    def pairs(a: dict) -> pa.RecordBatch:
+        new = np.ones(len(a["key"]), bool)
+        new[1:] = a["key"][1:] != a["key"][:-1]
+        at = np.arange(len(new))
+        head = np.maximum.accumulate(np.where(new, at, 0))
+        large = np.bincount(head, minlength=len(new))[head] > whole_group
+        rest = at[~new & large]
+        led = _passes(a, rest, head[rest], t)
+        found = [(rest[led], head[rest[led]], a["key"][rest[led]])]
+        left, back = np.concatenate((rest[~led], at[~new & ~large])), 1
+        floor = np.where(large, head, head - 1)
+        while len(left := left[left - back > floor[left]]):
+            ok = _passes(a, left, left - back, t)
+            found.append((left[ok], left[ok] - back, None))
+            back += 1
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        keys = pa.concat_arrays([pa.nulls(len(f[0]), pa.int64()) if f[2] is None else pa.array(f[2], pa.int64()) for f in found])
+        return pa.RecordBatch.from_arrays([pa.array(a["id"][i]), pa.array(a["id"][j]), keys], ["a", "b", "led_by"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in names}
+            now = {k: v.astype(np.int64) for k, v in now.items()}
+            held = now if held is None else {k: np.concatenate((held[k], now[k])) for k in names}
+            cut = int(np.searchsorted(held["key"], held["key"][-1]))  # sorted by key: all but the last group is whole
+            if cut:
+                yield pairs({k: v[:cut] for k, v in held.items()})
+                held = {k: v[cut:] for k, v in held.items()}
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
+def _tokens(line: Column) -> Column:
+    return F.array_distinct(F.array_remove(F.split(F.translate(line, UPPER, LOWER), BREAK), ""))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int) -> DataFrame:
+    """The (a, b) of pairs whose sets have the similarity; pairs is a written table."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    used = materialise(classes.select("id", "doc", "line_no").join(used, "id", "left_semi"))
+    lines = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("t")).join(small(used.select("doc").distinct(), used.count()), "doc", "left_semi")
+    lines = lines.select("doc", F.posexplode(F.split("t", "\n", -1)).alias("line_no", "line"))
+    # Words are cut and hashed once for each line, not for each pair, and pairs carry eight bytes a word.
+    hashed = F.transform(_tokens(F.col("line")), lambda w: F.xxhash64(w))
+    texts = materialise(lines.join(small(used, used.count()), ["doc", "line_no"]).dropDuplicates(["id"]).select("id", hashed.alias("t")))
+    x, y = texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    full = pairs.select("a", "b").join(x, "a").join(y, "b")
+    out = materialise(full.where((100 + t) * F.size(F.array_intersect("ta", "tb")) >= t * (F.size("ta") + F.size("tb"))).select("a", "b"))
+    drop(used)
+    drop(texts)
+    return out
+
+
+def kept_lines(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int = MIN_TOKENS, frequent: int = FREQUENT, whole_group: int = WHOLE_GROUP) -> DataFrame:
+    """(doc_id, line_no) of the lines of min_tokens distinct words or more that stay. A null doc_id has no text to verify by, so its lines keep what their class says."""
+    classes = _classes(docs, per_cent, min_tokens, frequent)
+    each = F.explode(F.arrays_zip("keys", "places")).alias("k")
+    one = classes.select("id", "doc", "line_no", "n", "bits", each).select(F.col("k.keys").alias("key"), "doc", "line_no", "id", "n", "bits", F.col("k.places").cast("int").alias("place"))
+    dealt = one.repartition("key").sortWithinPartitions("key", F.col("doc").asc_nulls_first(), "line_no", "id").select("key", "id", "n", "bits", "place")
+    # led_by: the token group in which b was the first and a was compared with it alone.
+    found = materialise(dealt.mapInArrow(_group_pairs(per_cent, whole_group), "a long, b long, led_by long"))
+    pairs = materialise(found.groupBy("a", "b").agg(F.count("*").alias("shared")))
+    # A witness is enough: the class that shares most keys first, then, for those it doesn't settle, all others.
+    best = materialise(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
+    sure = materialise(_verified(best, classes, docs, per_cent).select(F.col("a").alias("id")))
+    k = sure.count()
+    rest = materialise(pairs.join(small(sure, k), pairs.a == sure.id, "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"))
+    settled = materialise(sure.unionByName(_verified(rest, classes, docs, per_cent).select(F.col("a").alias("id"))).distinct())
     n = settled.count()
-    open_ = one.join(small(settled, n), "id", "left_anti")
-    x, y = open_.alias("x"), one.alias("y")
-    earlier = F.expr("struct(y.doc, y.line_no, y.id) < struct(x.doc, x.line_no, x.id)")
-    pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & earlier & _may_match("x", "y", per_cent)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more = _verified(pairs, classes, per_cent).select(F.col("a").alias("id")).distinct()
-    gone = materialise(settled.unionByName(more).distinct())
+    # Classes whose comparison with a group's first failed on the words: the others of that group follow.
+    open_ = materialise(found.where("led_by IS NOT NULL").select(F.col("a").alias("id"), F.col("led_by").alias("key")).distinct().join(small(settled, n), "id", "left_anti"))
+    m = open_.count()
+    gone = settled
+    if m:
+        x = materialise(one.join(small(open_, m), ["id", "key"], "left_semi"))
+        y = one.join(small(open_.select("key").distinct(), m), "key", "left_semi").alias("y")
+        x = x.alias("x")
+        earlier = F.expr("struct(y.doc, y.line_no, y.id) < struct(x.doc, x.line_no, x.id)")
+        need = f"ceil({per_cent} * (x.n + y.n) / {100 + per_cent})"
+        may = F.expr(f"100 * x.n >= {per_cent} * y.n AND 100 * y.n >= {per_cent} * x.n AND least(x.n - x.place, y.n - y.place) >= {need} AND bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}")
+        more = materialise(x.join(y, (F.col("x.key") == F.col("y.key")) & earlier & may).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+        gone = materialise(settled.unionByName(_verified(more, classes, docs, per_cent).select(F.col("a").alias("id"))).distinct())
     return classes.select("id", "doc", "line_no").join(small(gone, gone.count()), "id", "left_anti").select(F.col("doc").alias("doc_id"), "line_no")
 
 
@@ -123,15 +271,24 @@ def dedup(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int =
     """docs with removed lines cut from `text` (n_chars, if there is such a column, counted anew) and a column `removed_lines` of their numbers."""
     kept = kept_lines(docs, per_cent, min_tokens).groupBy("doc_id").agg(F.collect_list("line_no").alias("_kept")).select(F.col("doc_id").alias("_doc"), "_kept")
     names = docs.columns
-    df = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_doc"]), "left")
-    df = df.withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    df = df.withColumn("_lines", F.split(F.col("text").cast("string"), "\n", -1))
-    df = df.withColumn("removed_lines", F.expr(f"filter(transform(_lines, (l, i) -> CASE WHEN size(array_distinct(array_remove(split(translate(l, '{UPPER}', '{LOWER}'), '[\\\\x20\\\\x09-\\\\x0D]+'), ''))) >= {min_tokens} THEN i ELSE -1 END), i -> i >= 0)"))
-    df = df.withColumn("removed_lines", F.array_except("removed_lines", "_kept"))
-    text = F.when(F.size("removed_lines") == 0, F.col("text")).otherwise(F.expr("array_join(filter(transform(_lines, (l, i) -> CASE WHEN array_contains(removed_lines, i) THEN null ELSE l END), l -> l IS NOT NULL), '\n')"))
-    df = df.withColumn("_text", text)
-    out = [F.col("_text").alias(c) if c == "text" else F.length("_text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else docs[c] for c in names]
-    return df.select(*out, "removed_lines")
+    kind = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.int32()))])
+
+    @arrow_udf("struct<text: string, removed: array<int>>")
+    def edited(text: pa.Array, kept: pa.Array) -> pa.Array:
+        out = []
+        for t, keep in zip(text.to_pylist(), kept.to_pylist(), strict=True):
+            if t is None:
+                out.append({"text": None, "removed": None})
+                continue
+            lines, stays = t.split("\n"), set(keep or ())
+            gone = [i for i, x in enumerate(lines) if i not in stays and len(set(x.encode("utf-8", "replace").translate(_LOWER).split())) >= min_tokens]
+            drops = set(gone)
+            out.append({"text": "\n".join(x for i, x in enumerate(lines) if i not in drops) if gone else t, "removed": gone})
+        return pa.array(out, kind)
+
+    df = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["_doc"]), "left").withColumn("_e", edited(F.col("text").cast("string"), F.col("_kept")))
+    out = [F.col("_e.text").alias(c) if c == "text" else F.length("_e.text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else docs[c] for c in names]
+    return df.select(*out, F.col("_e.removed").alias("removed_lines"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
