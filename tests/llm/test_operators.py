@@ -124,8 +124,8 @@ def brute_lines(rows, least=5):
     return kept
 
 
-@pytest.mark.parametrize("frequent, whole", [(20_000, 64), (20, 1)])
-def test_line_dedup(spark, frequent, whole):
+@pytest.mark.parametrize("frequent", [20_000, 20])
+def test_line_dedup(spark, frequent):
     rng = random.Random(3)
     base = [rng.choice(WORDS) for _ in range(30)]
     rows = []
@@ -134,7 +134,7 @@ def test_line_dedup(spark, frequent, whole):
         for _ in range(rng.randrange(6)):
             near[rng.randrange(30)] = rng.choice(WORDS)
         rows.append((k, "\n".join([" ".join(near), " ".join(rng.choice(WORDS[:9]) for _ in range(rng.randrange(12))), "", " ".join(near[:5]).upper()])))
-    got = {(r.doc_id, r.line_no) for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent, whole_group=whole).collect()}
+    got = {(r.doc_id, r.line_no) for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()}
     assert got == brute_lines(rows)
 
 

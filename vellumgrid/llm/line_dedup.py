@@ -12,9 +12,9 @@ whatever the vocabulary: any total order is exact, and a bucket shared by chance
 token is no key of its own: with prefixes one token longer two similar sets share two tokens, so that it is paired
 with each token after it, which splits its group.
 
-A class needs one witness. So in a large token group a class is first compared with the group's earliest one; only
-where that one doesn't pass the filters, or fails on the words, are the other earlier ones looked at. Members of a
-large group of near copies are thus settled in linear work.
+A class needs one witness. So from each token group a class takes the earliest other one that passes the filters, i.e.
+one candidate a group; only where none of its candidates holds on the words are the others of its groups looked at.
+Large groups of near copies thus give a linear number of candidates.
 
 Words are told apart by 64 bits of hash (one function for candidates, XXH64 for the verdict), sets by 128.
 
@@ -39,8 +39,6 @@ from vellumgrid.llm._shared import BREAK, LOWER, UPPER, drop, materialise, small
 THRESHOLD_PER_CENT, MIN_TOKENS, SKETCH_BITS = 80, 5, 18
 #: A token whose bucket counts more occurrences than this is paired.
 FREQUENT = 20_000
-#: Token groups up to this size are compared whole; in larger ones the earliest class goes first.
-WHOLE_GROUP = 64
 _CHUNK, _LEVELS, _DOCS = 1 << 12, 120, 400
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _TO_LOWER = np.frombuffer(_LOWER, np.uint8)
@@ -173,7 +171,7 @@ def _passes(a: dict, i: np.ndarray, j: np.ndarray, t: int) -> np.ndarray:
     return ok & (np.bitwise_count((a["bits"][i] ^ a["bits"][j]).view(np.uint64)) <= na + nb - 2 * need)
 
 
-def _group_pairs(t: int, whole_group: int = WHOLE_GROUP):
+def _group_pairs(t: int):
     """Candidates of rows sorted by (key, doc, line_no, id). Groups run on from batch to batch."""
     names = ["key", "id", "n", "bits", "place"]
 
@@ -182,19 +180,13 @@ def _group_pairs(t: int, whole_group: int = WHOLE_GROUP):
         new[1:] = a["key"][1:] != a["key"][:-1]
         at = np.arange(len(new))
         head = np.maximum.accumulate(np.where(new, at, 0))
-        large = np.bincount(head, minlength=len(new))[head] > whole_group
-        rest = at[~new & large]
-        led = _passes(a, rest, head[rest], t)
-        found = [(rest[led], head[rest[led]], a["key"][rest[led]])]
-        left, back = np.concatenate((rest[~led], at[~new & ~large])), 1
-        floor = np.where(large, head, head - 1)
-        while len(left := left[left - back > floor[left]]):
-            ok = _passes(a, left, left - back, t)
-            found.append((left[ok], left[ok] - back, None))
-            back += 1
-        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        keys = pa.concat_arrays([pa.nulls(len(f[0]), pa.int64()) if f[2] is None else pa.array(f[2], pa.int64()) for f in found])
-        return pa.RecordBatch.from_arrays([pa.array(a["id"][i]), pa.array(a["id"][j]), keys], ["a", "b", "led_by"])
+        left, ahead, found = at[~new], 0, []
+        while len(left := left[head[left] + ahead < left]):
+            ok = _passes(a, left, head[left] + ahead, t)
+            found.append((left[ok], head[left[ok]] + ahead))
+            left, ahead = left[~ok], ahead + 1
+        i, j = (np.concatenate([f[k] for f in found]) if found else at[:0] for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a["id"][i]), pa.array(a["id"][j]), pa.array(a["key"][i])], ["a", "b", "led_by"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -235,14 +227,14 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, t: int) ->
     return out
 
 
-def kept_lines(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int = MIN_TOKENS, frequent: int = FREQUENT, whole_group: int = WHOLE_GROUP) -> DataFrame:
+def kept_lines(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int = MIN_TOKENS, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, line_no) of the lines of min_tokens distinct words or more that stay. A null doc_id has no text to verify by, so its lines keep what their class says."""
     classes = _classes(docs, per_cent, min_tokens, frequent)
     each = F.explode(F.arrays_zip("keys", "places")).alias("k")
     one = classes.select("id", "doc", "line_no", "n", "bits", each).select(F.col("k.keys").alias("key"), "doc", "line_no", "id", "n", "bits", F.col("k.places").cast("int").alias("place"))
     dealt = one.repartition("key").sortWithinPartitions("key", F.col("doc").asc_nulls_first(), "line_no", "id").select("key", "id", "n", "bits", "place")
-    # led_by: the token group in which b was the first and a was compared with it alone.
-    found = materialise(dealt.mapInArrow(_group_pairs(per_cent, whole_group), "a long, b long, led_by long"))
+    # led_by: the token group in which b is the first that passes for a.
+    found = materialise(dealt.mapInArrow(_group_pairs(per_cent), "a long, b long, led_by long"))
     pairs = materialise(found.groupBy("a", "b").agg(F.count("*").alias("shared")))
     # A witness is enough: the class that shares most keys first, then, for those it doesn't settle, all others.
     best = materialise(pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b")))
@@ -251,8 +243,8 @@ def kept_lines(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens:
     rest = materialise(pairs.join(small(sure, k), pairs.a == sure.id, "left_anti").select("a", "b").join(best, ["a", "b"], "left_anti"))
     settled = materialise(sure.unionByName(_verified(rest, classes, docs, per_cent).select(F.col("a").alias("id"))).distinct())
     n = settled.count()
-    # Classes whose comparison with a group's first failed on the words: the others of that group follow.
-    open_ = materialise(found.where("led_by IS NOT NULL").select(F.col("a").alias("id"), F.col("led_by").alias("key")).distinct().join(small(settled, n), "id", "left_anti"))
+    # Classes none of whose candidates held: all that pass in their groups follow.
+    open_ = materialise(found.select(F.col("a").alias("id"), F.col("led_by").alias("key")).distinct().join(small(settled, n), "id", "left_anti"))
     m = open_.count()
     gone = settled
     if m:
