@@ -86,6 +86,39 @@ def test_substring_dedup(spark):
     assert out[50].removed and len(out[50].text.split()) >= 25
 
 
+def shared_words(rows, least=25):
+    """Per document the words it loses: those in runs of least words or more that stood in an earlier document or earlier in its text (there, only beyond the first occurrence)."""
+    first, out = {}, {}
+    for doc, text in rows:
+        w = text.lower().split()
+        gone = set()
+        for i in range(len(w) - least + 1):
+            k = tuple(w[i : i + least])
+            d, at = first.setdefault(k, (doc, i))
+            gone.update(range(i if d != doc else max(i, at + least), i + least) if (d, at) != (doc, i) else ())
+        out[doc] = [x for i, x in enumerate(text.split()) if i not in gone]
+    return out
+
+
+def test_substring_passages_within_sentences(spark):
+    rng = random.Random(11)
+    some = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    passages = [some(n) for n in (25, 26, 35, 60, 24)]
+    passages[3][30] += "."
+    rows = []
+    for k in range(40):
+        words = some(rng.randrange(30))
+        for p in rng.sample(passages, rng.randrange(4)):
+            p = list(p)
+            if rng.random() < 0.3:
+                p[rng.randrange(len(p))] = "edited"
+            words += [*p, *some(rng.randrange(1, 40))]
+        rows.append((k, " ".join(words)))
+    rows += [(50, rows[3][1].upper().replace(" ", " \n")), (51, "İ　" + " ".join(passages[3])), (52, " ".join(some(3) * 30))]
+    out = {r.doc_id: r.text for r in substring_dedup.remove(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: t.split() for k, t in out.items()} == shared_words(rows)
+
+
 def test_substring_edges(spark, edge, empty):
     out = substring_dedup.remove(edge)
     assert out.columns[: len(edge.columns)][:2] == ["doc_id", "text"] and out.count() == edge.count()
