@@ -171,6 +171,24 @@ def test_line_dedup(spark, frequent):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("frequent", [20_000, 5])
+def test_short_lines(spark, frequent):
+    rng = random.Random(12)
+    rows = [(k, "\n".join(" ".join(rng.choice(WORDS[:12]) for _ in range(rng.randrange(7))) for _ in range(12))) for k in range(30)]
+    rows += [(40, "All rights reserved."), (41, "x\nALL rights  reserved.\n\n \nno no no no"), (42, "no\nx x\na b c d"), (43, "a b c d e\na b c e")]
+    got = {(r.doc_id, r.line_no) for r in line_dedup.kept_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_tokens=1, frequent=frequent).collect()}
+    assert got == brute_lines(rows, 1)
+    assert {(40, 0), (41, 0), (41, 4), (42, 2)} == {x for x in got if 40 <= x[0] < 43}
+
+
+def test_line_query_takes_all_lines(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    kept = brute_lines([(r.doc_id, r.text) for r in docs], 1)
+    want = {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if not words_of(x) or (r.doc_id, k) in kept) for r in docs if r.text is not None}
+    got = {r.doc_id: r.text for r in QUERIES["op3_line_dedup"](spark, SF).collect() if r.text is not None}
+    assert got == want and want != {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if len(words_of(x)) < 5 or (r.doc_id, k) in kept) for r in docs if r.text is not None}
+
+
 def test_line_edges(edge, empty):
     out = line_dedup.dedup(edge)
     assert out.columns == [*edge.columns, "removed_lines"]

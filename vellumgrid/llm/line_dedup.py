@@ -1,8 +1,10 @@
 """Line dedup by an exact set-similarity join.
 
 A line's set is its distinct words, ASCII letters lower-cased. A line is removed if an earlier one (by doc_id, line
-number) has a Jaccard similarity of THRESHOLD or more with it, removed or not; only lines of MIN_TOKENS distinct words
-or more take part. Equal sets are one class first, so that copies meet in a pre-aggregated group and never in pairs.
+number) has a Jaccard similarity of THRESHOLD or more with it, removed or not. In the query every line that isn't blank
+takes part; by default only those of MIN_TOKENS distinct words or more. Equal sets are one class first, so that copies
+meet in a pre-aggregated group and never in pairs. Sets of three words or fewer are similar at 0.8 only when equal: their
+class settles them, and they have no candidates (four words are similar to those and a fifth).
 
 Classes are joined by prefix filtering: tokens are ordered by rarity, two similar sets share one of their first
 n - ceil(t n) + 1 tokens (the prefix), and what meets on such a token is filtered by length, by the position of the
@@ -18,7 +20,7 @@ Large groups of near copies thus give a linear number of candidates.
 
 Words are told apart by 64 bits of hash (one function for candidates, XXH64 for the verdict), sets by 128.
 
-Defined results: lines of fewer words, blank ones included, stay; a null text stays null; rows that share a doc_id
+Defined results: lines that take no part, blank ones included, stay; a null text stays null; rows that share a doc_id
 are one document, and what is decided for a line number holds for each of them; a document whose lines all go keeps
 an empty text; a null doc_id ranks first; an empty table gives an empty result; other columns pass through and can't
 clash, as internal names begin with an underscore and only doc_id and text are looked at.
@@ -125,6 +127,8 @@ def line_sets(docs: list[int | None], texts: list[str | None], level: np.ndarray
     h1, h2 = (np.add.reduceat(_mix(h, k), start).view(np.int64) for k in (0x94D049BB133111EB, 0xD6E8FEB86659FD93))
     bits = np.bitwise_xor.reduceat(np.uint64(1) << (h >> np.uint64(58)), start).view(np.int64)
     prefix = n - -(-n * per_cent // 100) + 1
+    # A set too small to be similar to one of a word more or less is similar to its equals only.
+    prefix[(100 * n < per_cent * (n + 1)) & (100 * (n - 1) < per_cent * n)] = 0
     row = np.repeat(np.arange(len(own)), n)
     place = np.arange(len(h)) - start[row]
     often = lvl >= np.uint64(min(_LEVELS - 1, int(np.log(frequent + 1.0) * 4)))
@@ -284,5 +288,5 @@ def dedup(docs: DataFrame, per_cent: int = THRESHOLD_PER_CENT, min_tokens: int =
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_tokens=1)
     return out.select("doc_id", F.coalesce(F.size("removed_lines"), F.lit(0)).cast("long").alias("n_removed"), "removed_lines", "text")
