@@ -189,6 +189,16 @@ def test_line_query_takes_all_lines(spark):
     assert got == want and want != {r.doc_id: "\n".join(x for k, x in enumerate(r.text.split("\n")) if len(words_of(x)) < 5 or (r.doc_id, k) in kept) for r in docs if r.text is not None}
 
 
+def test_more_lines_than_twenty_bits(spark):
+    far = "a b c d e" + "\n" * (1 << 20) + "v w x y z"
+    level = np.zeros(1 << line_dedup.SKETCH_BITS, np.uint8)
+    got, want = (line_dedup.line_sets([1], [t], level, 80, 5) for t in (far, "a b c d e\nv w x y z"))
+    assert got["line_no"].to_pylist() == [0, 1 << 20]
+    assert all(got[k].to_pylist() == want[k].to_pylist() for k in ("h1", "h2", "n", "bits", "keys", "places"))
+    out = {r.doc_id: r.removed_lines for r in line_dedup.dedup(spark.createDataFrame([(1, far), (2, "v w x y z"), (3, "b a c d e")], "doc_id long, text string")).collect()}
+    assert out == {1: [], 2: [0], 3: [0]}
+
+
 def test_line_edges(edge, empty):
     out = line_dedup.dedup(edge)
     assert out.columns == [*edge.columns, "removed_lines"]

@@ -111,7 +111,8 @@ def line_sets(docs: list[int | None], texts: list[str | None], level: np.ndarray
     packed = (line.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20))
     order = np.argsort(packed)
     s = packed[order]
-    if np.any((s[1:] == s[:-1]) & (h[order][1:] != h[order][:-1])):  # a tie of different tokens: the full order
+    # Line numbers of more than 20 bits don't fit, or a tie of different tokens: the full order.
+    if sum(counts) > 1 << 20 or np.any((s[1:] == s[:-1]) & (h[order][1:] != h[order][:-1])):
         order = np.lexsort((h, key, line))
     line, h, lvl = line[order], h[order], lvl[order]
     first = np.ones(len(h), bool)
