@@ -52,6 +52,14 @@ def test_styles_with_maps_and_false(spark):
     assert r["a"].bold is False and r["a"].borders == {"x": "1", "y": "2", "z": "3"} and r["b"].bold is True
 
 
+def test_long_style_chain(spark):
+    rows = [("d", f"s{k:03d}", f"s{k + 1:03d}" if k < 105 else None, "Far" if k == 105 else None) for k in range(106)]
+    rows += [("d", "__docDefaults__", None, "Default"), ("d", "a", "b", None), ("d", "b", "a", "Loop")]
+    out = {r.style_id: r for r in resolve.resolve_styles(spark.createDataFrame(rows, "doc_id string, style_id string, based_on string, font string"), ["font"]).collect()}
+    assert out["s000"].font == "Far" and not out["s000"].cyclic
+    assert out["a"].font == "Loop" and out["a"].cyclic
+
+
 def test_convert_inspect_validate(spark):
     files = spark.createDataFrame([("d", TEXT), ("e", "= Solo")], "doc_id string, text string")
     packages = convert.texts_to_packages(files, embed=False).cache()
