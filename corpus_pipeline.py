@@ -45,7 +45,7 @@ STAGES = [
     ("substring dedup", dedup_substrings),
     ("best-fit packing", pack),
 ]
-#: The classifier's fit, XXH64 fingerprints and packing are beyond SQL; tests/llm compares run() with brute force.
+#: The classifier's fit, XXH64 fingerprints and packing are beyond SQL; tests/llm compares run()'s pieces with brute force on what the classifier keeps.
 ORACLE_SQL = None
 
 

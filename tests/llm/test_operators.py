@@ -7,6 +7,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 
 from vellumgrid.llm import chat_format, embedding_dedup, license_scan, line_dedup, packing, quality_classifier, quality_rules, segmentation, simhash, substring_dedup
 from vellumgrid.llm.registry import ORACLES, QUERIES
@@ -356,6 +357,37 @@ def test_fingerprints_link_within_three_bits(spark):
     assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 3}
 
 
+def brute_fingerprint(text):
+    w = [x.encode() for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({k: k + 32 for k in range(65, 91)})) if x]
+    hashes = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(texts):
+    """Each text's fingerprint, and the place of the first text of its component."""
+    fps = [brute_fingerprint(t) for t in texts]
+    near = [[j for j, g in enumerate(fps) if (f ^ g).bit_count() <= 3] for f in fps]
+    first, before = list(range(len(fps))), None
+    while first != before:
+        first, before = [min(first[j] for j in x) for x in near], first
+    return fps, first
+
+
+def test_classes_by_brute_force(spark):
+    rng = random.Random(13)
+    texts = [None, "", "One", "one TWO", " ".join(rng.choice(WORDS) for _ in range(300))]
+    for k in range(60):
+        w = texts[4 + k // 3 * 3 if k % 3 else 4].split()
+        w[rng.randrange(len(w))] = "Edited" if k % 3 else rng.choice(WORDS)
+        texts.append(" ".join(w) if k % 5 else "\n".join(rng.choice(WORDS) for _ in range(40)))
+    rows = [(k, t) for k, t in enumerate(texts)]
+
+    fps, first = brute_components(texts)
+    got = {r.doc_id: (r.fp & (1 << 64) - 1, r.component_id) for r in simhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: (f, c) for k, (f, c) in enumerate(zip(fps, first, strict=True))}
+    assert len(set(first)) < len(set(fps)), "some near copies link"
+
+
 def test_simhash_edges(edge, empty):
     rows = simhash.classes(edge).collect()
     assert len(rows) == edge.count()
@@ -444,3 +476,29 @@ def test_pipeline(spark):
                 assert after[after.doc_id == r.doc_id].text.item() == substring_dedup.cut(r.text, want[r.doc_id])
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     assert packed.length.sum() == docs.toPandas().n_chars.sum()
+
+
+def test_pipeline_run(spark):
+    """run()'s pieces against brute force on what the classifier keeps: its lines, near copies and passages, and the kept ids of each stage."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = sorted((r.doc_id, r.text) for r in corpus_pipeline.classify(spark, docs, SF).collect())
+    assert 0 < len(rows) <= docs.count()
+    kept = brute_lines(rows)
+    rows = [(d, "\n".join(x for k, x in enumerate(t.split("\n")) if len(words_of(x)) < 5 or (d, k) in kept)) for d, t in rows]
+    _, first = brute_components([t for _, t in rows])
+    heads = [r for k, r in enumerate(rows) if first[k] == k]
+    assert len(heads) < len(rows)
+    spans = brute_repeats(heads)
+    want = {d: len(substring_dedup.cut(t, spans[d])) for d, t in heads}
+    out = {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        out.setdefault(r.doc_id, []).append((r.start, r.length))
+    for d, pieces in out.items():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+        assert at == want[d]
+    assert set(out) >= {d for d, n in want.items() if n} and set(out) <= set(want)
