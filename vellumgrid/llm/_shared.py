@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +33,11 @@ def lower_ascii(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); one of our own only where the session names none."""
+    """The folder all executors share (spark.checkpoint.dir). Only a session in one JVM that names none gets a temporary folder; a cluster has to name its own."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.vellumgrid.scratch", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="vellumgrid-")
         spark.conf.set("spark.vellumgrid.scratch", where)
     return where
@@ -62,26 +69,65 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Deletes a table made by materialise(); nothing may read it afterwards."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vellumgrid_path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables made by materialise(); nothing may read them afterwards."""
+    for df in tables:
+        spark = df.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._vellumgrid_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def result_name(base: str, columns: Iterable[str]) -> str:
+    """The name of a column that an operator adds: base, with underscores appended while the input has a column of that name."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
 
 
-#: Rows a set of ids may have to be broadcast; more take a shuffled join.
-BROADCAST_ROWS = 400_000
+def identified(docs: DataFrame) -> DataFrame:
+    """(doc, mark, text, row): each row's identity and rank (doc, mark), its text, and the row itself as a struct, so that no column of it clashes with another.
+
+    doc is doc_id, the least long for none, so that rows without an id rank first; mark is a hash of whether there is an
+    id and of the text. Rows that share a doc_id but not the text are thus different documents; rows equal in both are
+    one document, since nothing tells which of them is the earlier.
+    """
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.select(F.coalesce(doc, F.lit(LEAST_LONG)).alias("doc"), F.xxhash64(doc.isNull(), text).alias("mark"), text.alias("text"), F.struct("*").alias("row"))
 
 
-def small(ids: DataFrame, rows: int) -> DataFrame:
-    """ids with a broadcast hint if its measured number of rows allows that; ids are a few fixed-width columns."""
-    return F.broadcast(ids) if rows <= BROADCAST_ROWS else ids
+LEAST_LONG = -(1 << 63)
+
+
+def restored(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of docs out of `row`, with this text, and n_chars counted anew where the text changed and there is such a column."""
+    kinds = dict(docs.dtypes)
+    out = []
+    for c in docs.columns:
+        old = F.col("row").getField(c)
+        if c == "text":
+            old = text
+        elif c == "n_chars":
+            old = F.when(text.eqNullSafe(F.col("text")), old).otherwise(F.length(text).cast(kinds[c]))
+        out.append(old.alias(c))
+    return out
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batches, cut to pieces of some `size` characters in column `text`; a longer text is a piece of its own."""
+    for batch in batches:
+        length = pa.compute.fill_null(pa.compute.utf8_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(np.concatenate(([0], length))), 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of edges (a long, b long), with alternating large and small stars.
 
-    Returns (node, component), component being the smallest node reachable; nodes without an edge to
+    Returns a written table (node, component), component being the smallest node reachable; nodes without an edge to
     another node are absent. Null ends are ignored. Every round writes its edges to the shared folder.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
@@ -95,12 +141,13 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         rest = large.join(first, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         nxt = materialise(rest.unionByName(first.select("hi", F.col("m").alias("lo"))).distinct())
         state = nxt.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        drop(large)
-        drop(e)
+        drop(large, e)
         e = nxt
         if tuple(state) == before:
             break
         before = tuple(state)
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
-    return e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+    out = materialise(e.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(e.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()))
+    drop(e)
+    return out

@@ -1,8 +1,8 @@
 """Substring dedup by hashed word windows.
 
 The unit is a window of MIN_WORDS words, from every word, whatever sentences or lines it stands in. Words are lower-cased
-and white space doesn't matter. A window is removed if an earlier document, by doc_id, holds it too, or an earlier
-place of its own text does; a passage of MIN_WORDS words or more that texts share is thus removed word by word to its
+and white space doesn't matter. A window is removed if an earlier document holds it too, or an earlier place of its own
+text does; a passage of MIN_WORDS words or more that texts share is thus removed word by word to its
 ends, wherever it stands in them.
 
 Windows are not shuffled one by one. A window's anchor is the least hash among its runs of (MIN_WORDS + 1) / 2 words, so
@@ -16,10 +16,11 @@ text loses only what lies beyond it.
 Each task settles what it has seen of other documents, so that a passage in a third of all documents is a group of as
 many rows as there are chunks of CHUNK characters, not documents.
 
-Defined results: null or blank texts have no units; a text shorter than MIN_WORDS is left alone; rows that share a
-doc_id and are equal count as occurrences in the table's order of offsets, i.e. both keep their text, since neither is
-earlier; rows with a null doc_id rank before all others; an empty table gives an empty result; other columns pass
-through, and names clash with none, as only doc_id and text are looked at.
+Defined results: null or blank texts have no units; a text shorter than MIN_WORDS is left alone; documents rank by
+doc_id, none first, and rows that share it (or have none) by a hash of the text: rows with different texts are different
+documents, each with spans of its own; rows equal in both are one document, with one result for each of them, since
+nothing tells which is the earlier; an empty table gives an empty result; other columns pass through whatever their
+names, and the added column's name takes an underscore where the input has it already.
 """
 
 from __future__ import annotations
@@ -28,13 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from vellumgrid.llm._shared import materialise, table
+from vellumgrid.llm._shared import chunks, drop, identified, materialise, restored, result_name, table
 
 MIN_WORDS = 25
 #: Characters of text a task looks at together, and words whose hashes it remembers.
@@ -153,16 +153,15 @@ def _own(w: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w["row"][order][ok], start[ok], w["stop"][order][ok]
 
 
-_ROWS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int8())])
-_ROWS_SQL = "doc_id long, start int, stop int, h1 long, h2 long, kind byte"
+_ROWS = pa.schema([("doc", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("kind", pa.int8())])
+_ROWS_SQL = "doc long, mark long, start int, stop int, h1 long, h2 long, kind byte"
 #: Kinds of rows: to be removed; to be grouped by (h1, h2); so, and known to have windows to compare; an anchor h1 known to have runs of different words.
 GONE, OPEN, MIXED, MARK = range(4)
 
 
-def _batch(ids: list[int | None], parts: list[tuple]) -> pa.RecordBatch:
+def _batch(ids: tuple[np.ndarray, np.ndarray], parts: list[tuple]) -> pa.RecordBatch:
     row, start, stop, h1, h2, kind = (np.concatenate(x) for x in zip(*parts, strict=True))
-    docs = pa.array(ids, pa.int64()).take(pa.array(row))
-    return pa.RecordBatch.from_arrays([docs, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(kind.astype(np.int8))], schema=_ROWS)
+    return pa.RecordBatch.from_arrays([*(pa.array(x[row]) for x in ids), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(kind.astype(np.int8))], schema=_ROWS)
 
 
 def _gone(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple:
@@ -180,26 +179,27 @@ def _gone(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple:
     return row, start, stop, none, none, np.full(len(row), GONE)
 
 
-def _ranks(ids: list[int | None]) -> np.ndarray:
-    order = {x: k for k, x in enumerate(sorted(set(ids), key=lambda x: (x is not None, x or 0)))}
-    return np.array([order[x] for x in ids], np.int64)
+def _ranks(doc: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """The rank of each text; equal identities share one."""
+    order = np.lexsort((mark, doc))
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (mark[order][1:] != mark[order][:-1])
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
-    """The batches' columns, in pieces of some CHUNK characters; the text is the second."""
-    for batch in batches:
-        size = np.cumsum(np.concatenate(([0], pa.compute.fill_null(pa.compute.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))))
-        at = 0
-        while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(size, size[at] + CHUNK, "right")) - 1)
-            yield [c.slice(at, end - at).to_pylist() for c in batch.columns]
-            at = end
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[np.ndarray, np.ndarray], list[str | None], list | None]]:
+    """Identities, texts and, if there is such a column, the runs asked for, of some CHUNK characters at once."""
+    for part in chunks(batches, 2, CHUNK):
+        ids = tuple(part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+        yield ids, part.column(2).to_pylist(), part.column(3).to_pylist() if part.num_columns > 3 else None
 
 
 def _run_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for ids, texts in _chunks(batches):
+        for ids, texts, _ in _parts(batches):
             w = _windows(texts, min_words, known)
             if not len(w["row"]):
                 continue
@@ -208,7 +208,7 @@ def _run_rows(min_words: int):
             row, start, stop, v = w["row"][head], w["start"][head], w["stop"][tail], w["anchor"][head]
             inside = (np.arange(len(of)) - head[of]).astype(np.uint64)
             words = np.add.reduceat(_mix(w["h2"] + inside * _STEP, 0xC4CEB9FE1A85EC53), head)
-            first, gone = _settled(v, words, _ranks(ids)[row], row)
+            first, gone = _settled(v, words, _ranks(*ids)[row], row)
             own = _own(w)
             spans = [np.concatenate((x, y[gone])) for x, y in zip(own, (row, start, stop), strict=True)]
             i = np.flatnonzero(first & ~gone)
@@ -227,7 +227,7 @@ def _run_rows(min_words: int):
 def _window_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
-        for ids, texts, runs in _chunks(batches):
+        for ids, texts, runs in _parts(batches):
             w = _windows(texts, min_words, known)
             if not len(w["row"]):
                 continue
@@ -235,7 +235,7 @@ def _window_rows(min_words: int):
             asked = np.concatenate([np.array(r, np.int64) + (k << 32) for k, r in enumerate(runs)])
             at = np.flatnonzero(np.isin((w["row"][head] << 32) + w["start"][head], asked)[of])
             w = {k: x[at] for k, x in w.items()}
-            first, gone = _settled(w["h1"], w["h2"], _ranks(ids)[w["row"]], w["row"])
+            first, gone = _settled(w["h1"], w["h2"], _ranks(*ids)[w["row"]], w["row"])
             i = np.flatnonzero(first & ~gone)
             yield _batch(ids, [_gone(w["row"][gone], w["start"][gone], w["stop"][gone]), (*(w[k][i] for k in ("row", "start", "stop", "h1", "h2")), np.full(len(i), OPEN))])
 
@@ -243,29 +243,31 @@ def _window_rows(min_words: int):
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, start, stop): spans that cover what isn't the earliest occurrence of a unit, cut to what lies beyond the earliest one where they overlap in one text."""
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    """(doc, mark, start, stop): by the identity of identified(), spans that cover what isn't the earliest occurrence of a unit, cut to what lies beyond the earliest one where they overlap in one text. A written table, the only one left."""
+    texts = identified(docs).select("doc", "mark", "text")
     # What is settled needs no group: its key spreads it over all partitions.
-    spread = F.when(F.col("kind") == GONE, F.xxhash64("doc_id", "start")).otherwise(F.col("h1"))
+    spread = F.when(F.col("kind") == GONE, F.xxhash64("doc", "mark", "start")).otherwise(F.col("h1"))
     rows = texts.mapInArrow(_run_rows(min_words), _ROWS_SQL).withColumn("h1", spread)
     anchor = Window.partitionBy("h1")
     run = F.col("kind").isin(OPEN, MIXED)
-    rows = rows.withColumn("first", F.first(F.when(run, F.struct("doc_id"))).over(Window.partitionBy("h1", "h2", "kind").orderBy(F.col("doc_id").asc_nulls_first())))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    rows = rows.withColumn("first", F.first(F.when(run, F.struct("doc", "mark"))).over(Window.partitionBy("h1", "h2", "kind").orderBy("doc", "mark")))
+    own = F.struct("doc", "mark").eqNullSafe(F.col("first"))
     rows = rows.withColumn("differ", (F.max(F.col("kind")).over(anchor) > OPEN) | (F.min(F.when(run, F.col("h2"))).over(anchor) != F.max(F.when(run, F.col("h2"))).over(anchor)) | (F.sum(F.when(run & own, 1)).over(Window.partitionBy("h1", "h2")) > 1))
     gone = (F.col("kind") == GONE) | (run & ~own)
-    rows = rows.where(gone | (run & F.coalesce("differ", F.lit(False)))).select("doc_id", "start", "stop", gone.alias("gone"))
+    rows = rows.where(gone | (run & F.coalesce("differ", F.lit(False)))).select("doc", "mark", "start", "stop", gone.alias("gone"))
     rows = materialise(rows)
-    asked = rows.where(~F.col("gone")).groupBy("doc_id").agg(F.collect_set("start").alias("runs")).withColumnRenamed("doc_id", "_doc")
-    again = texts.join(asked, texts["doc_id"].eqNullSafe(asked["_doc"])).select("doc_id", "text", "runs")
+    asked = rows.where(~F.col("gone")).groupBy("doc", "mark").agg(F.collect_set("start").alias("runs"))
+    again = texts.join(asked, ["doc", "mark"]).select("doc", "mark", "text", "runs")
     found = again.mapInArrow(_window_rows(min_words), _ROWS_SQL).withColumn("h1", spread).withColumn("h2", F.when(F.col("kind") == GONE, F.col("start").cast("long")).otherwise(F.col("h2")))
-    w = Window.partitionBy("h1", "h2", "kind").orderBy(F.col("doc_id").asc_nulls_first(), "start")
-    found = found.withColumn("first", F.first(F.struct("doc_id", "start", "stop")).over(w))
-    own = F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+    w = Window.partitionBy("h1", "h2", "kind").orderBy("doc", "mark", "start")
+    found = found.withColumn("first", F.first(F.struct("doc", "mark", "start", "stop")).over(w))
+    own = (F.col("doc") == F.col("first.doc")) & (F.col("mark") == F.col("first.mark"))
     settled = F.col("kind") == GONE
     cut = F.when(~settled & own, F.greatest("start", "first.stop")).otherwise(F.col("start"))
-    found = found.where(settled | ~own | (F.col("start") > F.col("first.start"))).select("doc_id", cut.alias("start"), "stop").where("start < stop")
-    return rows.where("gone").select("doc_id", "start", "stop").unionByName(found)
+    found = found.where(settled | ~own | (F.col("start") > F.col("first.start"))).select("doc", "mark", cut.alias("start"), "stop").where("start < stop")
+    out = materialise(rows.where("gone").select("doc", "mark", "start", "stop").unionByName(found))
+    drop(rows)
+    return out
 
 
 def _merged(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
@@ -292,10 +294,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with `text` cut (and n_chars, if there is such a column, counted anew) and a column `removed` of original spans; empty where nothing was removed."""
-    found = materialise(repeats(docs, min_words))
-    by_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans")).withColumnRenamed("doc_id", "_doc")
-    names = docs.columns
-    joined = docs.join(by_doc, docs["doc_id"].eqNullSafe(by_doc["_doc"]), "left").drop("_doc")
+    spans = repeats(docs, min_words).groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     kind = "struct<text: string, removed: array<struct<start: int, stop: int>>>"
 
     @arrow_udf(kind)
@@ -306,12 +305,10 @@ def remove(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             rows.append({"text": cut(t, m) if m else None, "removed": [{"start": a, "stop": b} for a, b in m]})
         return pa.array(rows, pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))]))
 
+    df = identified(docs).join(spans, ["doc", "mark"], "left")
     # Only texts that lose something travel to Python.
-    e = joined.withColumn("_e", edited(F.when(F.col("_spans").isNotNull(), F.col("text").cast("string")), F.col("_spans")))
-    out = {c: F.col(c) for c in names}
-    out["text"] = F.coalesce("_e.text", F.col("text")).alias("text")
-    e = e.select(*[out[c] for c in names], F.col("_e.removed").alias("removed"))
-    return e.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in names else e
+    df = df.withColumn("left", edited(F.when(F.col("spans").isNotNull(), F.col("text")), F.col("spans")))
+    return df.select(*restored(docs, F.coalesce("left.text", F.col("text"))), F.col("left.removed").alias(result_name("removed", docs.columns)))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
