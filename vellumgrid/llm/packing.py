@@ -1,13 +1,15 @@
 """Best-fit packing into sequences of several permitted lengths.
 
-A document is cut into pieces of at most the largest length. Pieces of that length fill a sequence each; the others
-are packed by decreasing length: a piece goes to the open bin with the least room that holds it (the oldest of
-equals); if none does, the bin size of least cost for each unit it can still be filled with is opened, all permitted
-sizes considered jointly; in the end each bin is downsized to the smallest permitted length that holds its contents.
+A document is cut into pieces of at most the largest length, and pieces are packed by decreasing length: a piece goes to
+the open bin with the least room that holds it (the oldest of equals). If none does, a bin is opened: for each permitted
+size, what it would be filled with is looked up among the pieces still to come (the longest that fits, again and again),
+and the size whose filling costs least a unit is taken, downsized as it would be. In the end each bin is downsized to
+the smallest permitted length that holds its contents. The sizes are optimised jointly in a second way, too: the same
+packing is tried with each single size as the least one to open, and the cheapest of all packings is kept.
 
-Pieces are dealt to shards by a hash, each shard packed by itself. The number of shards follows the number of
-pieces, so that a shard is of bounded size whatever the corpus or any one source; what a shard leaves unfilled is a
-few bins out of thousands.
+Pieces are dealt to shards of PER_SHARD by a hash of their place in the table, so that repeated rows spread, too, and
+each shard is packed by itself. It is a bound on a task's memory and no switch: a shard fills its bins but for a few out
+of thousands, and packings cost the same a unit whatever the number of shards.
 
 Defined results: null or empty texts have no piece and appear in no bin; a text of any length is cut and kept whole;
 rows that repeat are packed as often as they occur; ties go by doc_id (null first) and start; an empty table gives no
@@ -32,44 +34,87 @@ PER_SHARD = 20_000
 
 
 def sequence_cost(capacity: int) -> float:
-    """Relative cost of a sequence: linear work, a quadratic share for attention, and a fixed share for each sequence."""
-    return capacity + capacity * capacity / 65536 + 128
+    """Relative cost of a sequence: linear work, a quadratic share for attention, and a fixed share for each sequence. A unit costs least in sequences of 4,096 to 8,192, if they are full."""
+    return capacity + capacity * capacity / 65536 + 512
 
 
-def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> tuple[list[int], list[int]]:
-    """Packs lengths, given in decreasing order. Returns the bin of each and the final capacity of each bin."""
-    sizes = sorted(set(capacities))
-    left = sum(lengths)
+def _filled(negated: list[int], after: int, room: int) -> int:
+    """How much of `room` the pieces after a place fill, the longest that fits taken again and again; lengths are negated, so ascending."""
+    had, at = room, after
+    while room and (at := bisect_left(negated, -room, at)) < len(negated):
+        room += negated[at]
+        at += 1
+    return had - room
+
+
+def _packed(lengths: Sequence[int], sizes: list[int], cost: Callable[[int], float], least: int) -> tuple[list[int], list[int], float]:
+    """Bins, capacities and total cost, if bins open with one of `sizes` from `least` on."""
+    negated = [-n for n in lengths]
     rooms: list[int] = []  # distinct rooms of open bins, ascending
     bins_at: dict[int, deque[int]] = {}
     used: list[int] = []
     room: list[int] = []
     placed: list[int] = []
-    for n in lengths:
-        if n > sizes[-1]:
-            raise ValueError(f"a piece of {n} exceeds the largest capacity")
-        k = bisect_left(rooms, n)
-        if k < len(rooms):
-            at = rooms[k]
+    for k, n in enumerate(lengths):
+        r = bisect_left(rooms, n)
+        if r < len(rooms):
+            at = rooms[r]
             b = bins_at[at].popleft()
             if not bins_at[at]:
-                del bins_at[at], rooms[k]
+                del bins_at[at], rooms[r]
         else:
-            # What is still to come, this piece included, is all that can fill a new bin.
-            size = min((c for c in sizes if c >= n), key=lambda c: (cost(c) / min(c, left), c))
+            best = None
+            for c in sizes[bisect_left(sizes, max(n, least)) :]:
+                full = n + _filled(negated, k + 1, c - n)
+                price = cost(sizes[bisect_left(sizes, full)]) / full
+                if best is None or price < best[0]:
+                    best = price, c
             b = len(used)
             used.append(0)
-            room.append(size)
+            room.append(best[1])
         used[b] += n
         room[b] -= n
-        left -= n
         placed.append(b)
         if room[b]:
             if room[b] not in bins_at:
                 insort(rooms, room[b])
                 bins_at[room[b]] = deque()
             bins_at[room[b]].append(b)
-    return placed, [sizes[bisect_left(sizes, u)] for u in used]
+    final = [sizes[bisect_left(sizes, u)] for u in used]
+    return placed, final, sum(map(cost, final))
+
+
+def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost) -> tuple[list[int], list[int]]:
+    """Packs lengths, given in decreasing order. Returns the bin of each and the final capacity of each bin."""
+    sizes = sorted(set(capacities))
+    if lengths and lengths[0] > sizes[-1]:
+        raise ValueError(f"a piece of {lengths[0]} exceeds the largest capacity")
+    # Look-ahead sees each bin by itself; a least size for all of them costs a pass each.
+    tried = [_packed(lengths, sizes, cost, least) for least in sizes] + [smallest_fit(lengths, sizes, cost)]
+    return min(tried, key=lambda x: x[2])[:2]
+
+
+def smallest_fit(lengths: Sequence[int], sizes: list[int], cost: Callable[[int], float]) -> tuple[list[int], list[int], float]:
+    """The packing whose bins open with the smallest size that holds their first piece."""
+    rooms: list[tuple[int, int]] = []
+    room: list[int] = []
+    used: list[int] = []
+    placed: list[int] = []
+    for n in lengths:
+        r = bisect_left(rooms, (n, -1))
+        if r < len(rooms):
+            _, b = rooms.pop(r)
+        else:
+            b = len(room)
+            room.append(sizes[bisect_left(sizes, n)])
+            used.append(0)
+        room[b] -= n
+        used[b] += n
+        placed.append(b)
+        if room[b]:
+            insort(rooms, (room[b], b))
+    final = [sizes[bisect_left(sizes, u)] for u in used]
+    return placed, final, sum(map(cost, final))
 
 
 def pieces(docs: DataFrame, largest: int, length: str = "length(text)") -> DataFrame:
@@ -79,12 +124,12 @@ def pieces(docs: DataFrame, largest: int, length: str = "length(text)") -> DataF
     return cut.select("doc_id", "start", F.least(F.lit(largest), F.col("n") - F.col("start")).cast("int").alias("length"))
 
 
-def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost, length: str = "length(text)") -> DataFrame:
+def pack(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, cost: Callable[[int], float] = sequence_cost, length: str = "length(text)", per_shard: int = PER_SHARD) -> DataFrame:
     """(bin_id, capacity, used, position, doc_id, start, length): one row for each piece, in its place within its bin. `length` is an SQL expression for a row's length, in code points unless another is given, e.g. a column of token counts."""
     largest = max(capacities)
-    cut = materialise(pieces(docs, largest, length))
-    shards = max(1, -(-cut.count() // PER_SHARD))
-    named = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(shards)))
+    cut = materialise(pieces(docs, largest, length).withColumn("piece", F.monotonically_increasing_id()))
+    shards = max(1, -(-cut.count() // per_shard))
+    named = cut.withColumn("shard", F.pmod(F.xxhash64("piece"), F.lit(shards))).drop("piece")
     schema = "bin_id string, capacity int, used int, position int, doc_id long, start long, length int"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
