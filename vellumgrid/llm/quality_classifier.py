@@ -3,16 +3,17 @@
 The model is a logistic score over binned features of the whole text, fitted by minimising the non-negative unbiased
 risk  prior * R_pos(+1) + max(0, R_unl(-1) - prior * R_pos(-1)):  when the second term turns negative, the step goes
 back up its gradient instead. Trusted positives are rows with labels.quality = 1; the unlabelled text is any text; the
-class prior is estimated by the share of quality 1 among labelled rows. Only rows of the training folds
+class prior is an input of train(), estimated where none is given by estimated_prior(). Only rows of the training folds
 (crc32(doc_id) mod 4 <> 2) are used, for labels and text alike, and nothing but the text enters a score.
 
-The fit is on bounded samples, MAX_POSITIVES and MAX_UNLABELLED rows in the order of a hash of their ids, whose
-features (some sixty numbers each) reach the driver; scoring is one pass over all texts in Arrow batches.
+The fit is on samples bounded by two parameters of train(), max_positives and max_unlabelled, in rows and not in ids;
+they are drawn from all rows by a hash of identity and text. Their features (some sixty numbers each) reach the driver;
+scoring is one pass over all texts in Arrow batches.
 
 Defined results: null and blank texts are scored by the features of an empty text; with no trusted positives (an
 empty table of labels) every score is 0.5; several labels of one doc_id count as the smallest; labels other than 0 and
-1 and rows with a null doc_id train nothing, the latter still get a score; repeated rows get the same score each;
-other columns are neither read nor lost.
+1 and rows with a null doc_id train nothing, the latter still get a score; rows equal in doc_id and text train once and
+get the same score each; other columns are neither read nor lost, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,10 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from vellumgrid.llm._shared import table
+from vellumgrid.llm._shared import identified, table
 
+#: Rows that a fit reads at most: defaults of the parameters of train().
 MAX_POSITIVES = MAX_UNLABELLED = 8_000
-BINS, STEPS, RATE, DECAY, SLACK = 12, 400, 0.05, 1e-4, 0.0
+BINS, STEPS, RATE, DECAY = 12, 400, 0.05, 1e-4
 THRESHOLD = 0.7
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -72,6 +74,27 @@ def _bins(cuts: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(cut, x[:, j], side="right") + j * wide for j, cut in enumerate(cuts)], axis=1)
 
 
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-z))
+
+
+def risk(w: np.ndarray, c: float, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray]:
+    """The positive part of the risk, the part that must not be negative, and the gradient to go down, by weights and bias: that of the whole risk, or, where the second part is negative, its own turned round. Logistic loss; p and u hold the places of each row's bins."""
+    sp, su = sigmoid(w[p].sum(axis=1) + c), sigmoid(w[u].sum(axis=1) + c)
+    positive = -prior * np.log(np.maximum(sp, 1e-12)).mean()
+    negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
+
+    def spread(bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.bincount(bins.ravel(), weights=np.repeat(rows, bins.shape[1]), minlength=len(w))
+
+    # d/dz of l(z, +1) is s - 1, of l(z, -1) is s.
+    gp, gu, gn = prior * (sp - 1) / len(p), su / len(u), prior * sp / len(p)
+    down = np.append(spread(u, gu) - spread(p, gn), gu.sum() - gn.sum())
+    if negative >= 0:
+        return positive, negative, np.append(spread(p, gp), gp.sum()) + down
+    return positive, negative, -down
+
+
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     """Minimises the non-negative risk with the logistic loss, by Adam over the full samples; deterministic."""
     both = np.concatenate([positive, unlabelled])
@@ -80,29 +103,29 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     tails = np.quantile(both, [0.02, 0.96, 0.98, 0.995], axis=0).T.astype(np.float32)
     cuts = np.sort(np.concatenate([cuts, tails], axis=1), axis=1)
     p, u = _bins(cuts, positive), _bins(cuts, unlabelled)
-    wide, many = p.shape[1], cuts.size + len(cuts)
-    w, c = np.zeros(many), float(np.log(prior / (1 - prior)))
-
-    def spread(bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        return np.bincount(bins.ravel(), weights=np.repeat(rows, wide), minlength=many)
-
+    w, c = np.zeros(cuts.size + len(cuts)), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):
-        sp, su = 1 / (1 + np.exp(-(w[p].sum(axis=1) + c))), 1 / (1 + np.exp(-(w[u].sum(axis=1) + c)))
-        # Logistic loss: d/dz of l(z, +1) is s - 1, of l(z, -1) is s.
-        negative = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
-        gp, gu = prior * (sp - 1) / len(p), su / len(u)
-        gn = prior * sp / len(p)
-        if negative >= -SLACK:
-            g = np.append(spread(p, gp - gn) + spread(u, gu) + DECAY * w, (gp - gn).sum() + gu.sum())
-        else:
-            g = np.append(spread(p, gn) - spread(u, gu) + DECAY * w, gn.sum() - gu.sum())
+        g = risk(w, c, p, u, prior)[2]
+        g[:-1] += DECAY * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
         w, c = w - step[:-1], c - step[-1]
     return Model(cuts, w.reshape(cuts.shape[0], -1), c)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone: a model that tells the two apart is fitted on one half of each; on the other half the prior is the least ratio, over all thresholds, of the unlabelled to the positive share above it, each with its margin of error."""
+    p, u = positive[::2], unlabelled[::2]
+    model = fit(p, u, 0.5)
+    sp, su = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
+    at = np.unique(sp)
+    above_p, above_u = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
+    best = np.argmin((above_u + error) / np.maximum(above_p, 1e-9))
+    return float(min(max(above_u[best] / above_p[best], 0.02), 0.98))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -115,22 +138,28 @@ def _features_of(text: Column) -> Column:
     return measured(text)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model from docs (doc_id, text) and labels (doc_id, quality); None without positives or text to learn from."""
-    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    share = known.agg(F.avg("quality")).first()[0]
-    order = F.xxhash64("doc_id", F.lit("sample"))
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
-    # Both samples are of bounded size, so their ids can be broadcast.
-    pos = known.where("quality = 1").select("doc_id").orderBy(order, "doc_id").limit(MAX_POSITIVES).withColumn("p", F.lit(1))
-    unl = ids.orderBy(order, "doc_id").limit(MAX_UNLABELLED).withColumn("u", F.lit(1))
-    chosen = pos.join(unl, "doc_id", "full_outer")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "p", "u", _features_of(F.col("text").cast("string")).alias("x")).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.x))
-    p, u = (np.array([r.x for r in rows if r[k]], np.float32) for k in ("p", "u"))
-    if not share or not len(p) or not len(u):
+def _drawn(ids: DataFrame, most: int) -> DataFrame:
+    """At most `most` rows (doc, mark) of ids, the least by hash. So few pass the first cut that one task can order them."""
+    order, total = F.xxhash64("doc", "mark", F.lit("sample")), ids.count()
+    share = min(1.0, 2 * most / max(total, 1))
+    return ids.where(order.bitwiseAND(F.lit((1 << 62) - 1)) <= F.lit(int(share * ((1 << 62) - 1)))).orderBy(order, "doc", "mark").limit(most)
+
+
+def train(docs: DataFrame, labels: DataFrame, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED, prior: float | None = None) -> Model | None:
+    """The model from docs (doc_id, text) and labels (doc_id, quality); None without positives or text to learn from. At most max_positives positive and max_unlabelled unlabelled rows are fitted."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min("quality").alias("quality"))
+    rows = identified(docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))).select("doc", "mark", "text")
+    ids = rows.select("doc", "mark")
+    pos = _drawn(ids.join(known.where("quality = 1"), "doc", "left_semi").distinct(), max_positives).withColumn("p", F.lit(True))
+    unl = _drawn(ids.distinct(), max_unlabelled).withColumn("u", F.lit(True))
+    # Both samples are of bounded size, so they can be broadcast, and rows equal to a sampled one are dropped before they are sent on.
+    chosen = rows.join(F.broadcast(pos.join(unl, ["doc", "mark"], "full_outer")), ["doc", "mark"]).dropDuplicates(["doc", "mark"])
+    found = chosen.select("doc", "mark", "p", "u", _features_of(F.col("text")).alias("x")).collect()
+    found.sort(key=lambda r: (r.mark, r.doc))
+    p, u = (np.array([r.x for r in found if r[k]], np.float32) for k in ("p", "u"))
+    if min(len(p), len(u)) < 2:
         return None
-    return fit(p, u, min(max(share, 0.02), 0.98))
+    return fit(p, u, estimated_prior(p, u) if prior is None else prior)
 
 
 def score_column(model: Model | None, text: Column) -> Column:
@@ -149,7 +178,7 @@ def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
     if model is None:
         return docs
-    return docs.withColumn("_score", score_column(model, F.col("text"))).where(F.col("_score") >= THRESHOLD).select(*[docs[c] for c in docs.columns])
+    return docs.select(F.struct("*").alias("row"), score_column(model, F.col("text")).alias("score")).where(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
