@@ -1,34 +1,41 @@
 """Embedding near-dedup by collision-counting projections.
 
-Unit vectors are projected onto many random lines. Within a tile (one block of queries against one block of rows) the
-rows are sorted along every line; around each query's projection stands a window, and each row that falls into it
-collides once. Pairs with at least COUNT collisions are verified by their cosine in double precision. COUNT is the
-largest number that a pair just at the threshold reaches with probability RECALL: its projections differ by a normal
-variable of known spread, so its collisions are binomial.
-
-Blocks are ranges of one more projection, and tiles whose ranges lie further apart than pairs at the threshold do
-(with probability RECALL again) are skipped. The work is that of counting, quadratic in the rows of near blocks; what
-leaves a tile is one count for each vector that links there and a spanning forest of its links, never its pairs.
+Unit vectors are projected onto LINES random lines. Around each vector's projection stands a window, and each row whose
+projection falls into it collides once; pairs with at least COUNT collisions are verified by their cosine in double
+precision. COUNT is the largest number that a pair just at the threshold reaches with probability RECALL: its
+projections differ by a normal variable of known spread, so its collisions are binomial.
+
+So that counting isn't quadratic, vectors meet in cells: a table cuts a few of the lines, each at a random offset, into
+intervals of CELL, and a cell is a choice of intervals. The number of lines a table cuts follows the logarithm of the
+number of vectors, so that a cell of unrelated vectors holds some FILL of them, and there are as many tables as a pair at
+the threshold needs to share a cell of one of them with probability RECALL. A pair counts in the first table whose cell
+it shares. A cell of more than BLOCK vectors is dealt to tiles of two blocks each: every pair of them meets in one tile.
+
+What leaves a tile is one count for each vector that links there and a spanning forest of its links, never its pairs.
 Equal vectors are one node first, however many there are.
 
 Defined results: a vector that is null, zero, or holds null or non-finite components links with nothing and is its
 own component; vectors of different dimensions don't link; rows that repeat (the same vec_id and vector) count as
-separate vectors in n_links; a null vec_id never names a component; an empty table gives an empty result; other
-columns are not read.
+separate vectors in n_links; a null vec_id never names a component and is never kept; an empty table gives an empty
+result; other columns are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
-from math import comb, erf, sqrt
+from dataclasses import dataclass
+from itertools import chain
+from math import ceil, comb, erf, exp, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumgrid.llm._shared import components, materialise, table
+from vellumgrid.llm._shared import components, drop, materialise, table
 
-COSINE, RECALL, LINES, WINDOW, BLOCK = 0.95, 0.995, 64, 0.1, 4096
+COSINE, RECALL, LINES, WINDOW, BLOCK = 0.95, 0.997, 64, 0.1, 2048
+#: Width of a table's intervals, and vectors that a cell of unrelated ones holds on average.
+CELL, FILL = 1.5, 32
 
 
 def least_count(cosine: float = COSINE, recall: float = RECALL, lines: int = LINES, window: float = WINDOW) -> int:
@@ -42,17 +49,42 @@ def least_count(cosine: float = COSINE, recall: float = RECALL, lines: int = LIN
     return lines
 
 
-def reach(cosine: float = COSINE, recall: float = RECALL) -> float:
-    """How far apart the projections of a pair at `cosine` lie, at most, with probability `recall`."""
-    lo, hi = 0.0, 10.0
-    for _ in range(60):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if erf(mid / sqrt(2)) < recall else (lo, mid)
-    return hi * sqrt(2 - 2 * cosine)
+def share(sigma: float, cell: float = CELL) -> float:
+    """How likely projections that differ by a normal variable of this spread lie in one interval."""
+    x = cell / sigma
+    return erf(x / sqrt(2)) - sqrt(2 / pi) * (1 - exp(-x * x / 2)) / x
 
 
-def _directions(dim: int, lines: int) -> np.ndarray:
-    return np.random.default_rng(20_000 + dim).standard_normal((dim, lines + 1))
+@dataclass(frozen=True)
+class Tables:
+    """`count` tables of `lines` lines each for vectors of one dimension."""
+
+    dim: int
+    count: int
+    lines: int
+
+    @classmethod
+    def of(cls, dim: int, vectors: int, cosine: float, recall: float = RECALL, fill: int = FILL) -> Tables:
+        lines = min(LINES, max(1, ceil(log(max(vectors, 2) / fill) / -log(share(sqrt(2))))))
+        missed = 1 - share(sqrt(max(2 - 2 * cosine, 1e-9))) ** lines
+        return cls(dim, max(1, ceil(log(1 - recall) / log(missed))) if missed > 1 - recall else 1, lines)
+
+    def cells(self, projections: np.ndarray) -> np.ndarray:
+        """The cell of each row (by projections onto all lines) in each table, as a hash."""
+        rng = np.random.default_rng(30_000 + self.dim)
+        out = np.empty((len(projections), self.count), np.uint64)
+        for t in range(self.count):
+            chosen, offset = rng.permutation(LINES)[: self.lines], rng.uniform(0, CELL, self.lines)
+            h = np.full(len(projections), (t + 1) * 1_000_003 + self.dim, np.uint64)
+            for k in np.floor((projections[:, chosen] + offset) / CELL).astype(np.int64).view(np.uint64).T:
+                h = (h ^ k) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            out[:, t] = h
+        return out
+
+
+def _directions(dim: int, lines: int = LINES) -> np.ndarray:
+    return np.random.default_rng(20_000 + dim).standard_normal((dim, lines))
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -65,11 +97,17 @@ def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def tile_links(q: np.ndarray, r: np.ndarray, same: bool, cosine: float = COSINE, lines: int = LINES, window: float = WINDOW, count: int | None = None):
     """For each query row of q: the rows of r (after itself, if both are the same block) that collide often enough and have the cosine."""
     count = least_count(cosine, lines=lines, window=window) if count is None else count
-    d = _directions(q.shape[1], lines)[:, 1:]
-    pr = r @ d
+    d = _directions(q.shape[1], lines)
+    pq, pr = q @ d, r @ d
+    if len(r) <= 256:  # few rows: each window is compared as it stands
+        for i in range(len(q)):
+            often = np.flatnonzero((np.abs(pr - pq[i]) <= window).sum(axis=1) >= count)
+            often = often[often > i] if same else often
+            if len(often) and len(found := often[r[often] @ q[i] >= cosine]):
+                yield i, found
+        return
     order = np.argsort(pr, axis=0, kind="stable")
     columns = [np.ascontiguousarray(order[:, k]) for k in range(lines)]
-    pq = q @ d
     lo = np.stack([np.searchsorted(pr[columns[k], k], pq[:, k] - window, "left") for k in range(lines)], axis=1)
     hi = np.stack([np.searchsorted(pr[columns[k], k], pq[:, k] + window, "right") for k in range(lines)], axis=1)
     for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
@@ -77,91 +115,132 @@ def tile_links(q: np.ndarray, r: np.ndarray, same: bool, cosine: float = COSINE,
         often = np.flatnonzero(np.bincount(hits, minlength=len(r)) >= count)
         if same:
             often = often[often > i]
-        if len(often):
-            found = often[r[often] @ q[i] >= cosine]
-            if len(found):
-                yield i, found
-
-
-def _tile(cosine: float):
-    def run(key: tuple, t: pa.Table) -> pa.Table:
-        dim, first, second = (k.as_py() for k in key[:3])
-        node, n, block = t["node"].to_numpy(), t["copies"].to_numpy(), t["block"].to_numpy()
-        x = _unit(t["embedding"])
-        rows = np.lexsort((node,))
-        qi, ri = rows[block[rows] == first], rows[block[rows] == second]
-        links: dict[int, int] = {}
-        parent: dict[int, int] = {}
-
-        def find(v: int) -> int:
-            while parent.setdefault(v, v) != v:
-                parent[v] = parent[parent[v]]
-                v = parent[v]
-            return v
-
-        forest = []
-        for i, found in tile_links(x[qi], x[ri], first == second, cosine):
-            a, others = int(qi[i]), ri[found]
-            links[a] = links.get(a, 0) + int(n[others].sum())
-            for b in others.tolist():
-                links[b] = links.get(b, 0) + int(n[a])
-                u, v = find(a), find(b)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    forest.append((int(node[a]), int(node[b])))
-        a = [int(node[k]) for k in links] + [e[0] for e in forest]
-        b = [None] * len(links) + [e[1] for e in forest]
-        c = list(links.values()) + [0] * len(forest)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "links": pa.array(c, pa.int64())})
+        if len(often) and len(found := often[r[often] @ q[i] >= cosine]):
+            yield i, found
+
+
+def _tile(x: np.ndarray, node: np.ndarray, copies: np.ndarray, block: np.ndarray, first: int, second: int, at: int, tables: Tables, cosine: float) -> tuple[list[int], list[int | None], list[int]]:
+    """Counts (node, null, links) and forest edges (node, node, 0) of one tile of table `at`."""
+    qi, ri = np.flatnonzero(block == first), np.flatnonzero(block == second)
+    cells = tables.cells(x @ _directions(x.shape[1]))
+    links: dict[int, int] = {}
+    parent: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while parent.setdefault(v, v) != v:
+            parent[v] = parent[parent[v]]
+            v = parent[v]
+        return v
+
+    forest = []
+    for i, found in tile_links(x[qi], x[ri], first == second, cosine):
+        a, others = int(qi[i]), ri[found]
+        others = others[~(cells[others, :at] == cells[a, :at]).any(axis=1)]
+        if not len(others):
+            continue
+        links[a] = links.get(a, 0) + int(copies[others].sum())
+        for b in others.tolist():
+            links[b] = links.get(b, 0) + int(copies[a])
+            u, v = find(a), find(b)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                forest.append((int(node[a]), int(node[b])))
+    return [int(node[k]) for k in links] + [e[0] for e in forest], [None] * len(links) + [e[1] for e in forest], list(links.values()) + [0] * len(forest)
+
+
+def _tiles(plans: dict[int, Tables], cosine: float):
+    """_tile() of each run of rows with one (cell, first, second, t), sorted by these. Runs go on from batch to batch."""
+    names = ["cell", "first", "second", "t", "dim"]
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                now = pa.Table.from_batches([batch])
+                held = now if held is None else pa.concat_tables([held, now])
+                if held.num_rows < 4 * BLOCK:
+                    continue
+            if held is None or not held.num_rows:
+                continue
+            key = np.stack([held[k].to_numpy() for k in names], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            ends = [*cuts.tolist(), held.num_rows]
+            whole = ends if batch is None else ends[:-1]  # the last run may go on
+            node, copies, block = (held[k].to_numpy() for k in ("node", "copies", "block"))
+            a, b, c, at = [], [], [], 0
+            for end in whole:
+                cell, first, second, t, dim = key[at].tolist()
+                if end - at > 1:
+                    found = _tile(_unit(held["embedding"].slice(at, end - at)), node[at:end], copies[at:end], block[at:end], first, second, t, plans[dim], cosine)
+                    for out, part in zip((a, b, c), found, strict=True):
+                        out += part
+                at = end
+            held = held.slice(at)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["a", "b", "links"])
 
     return run
 
 
-def _projected(batches):
-    for batch in batches:
-        if batch.num_rows:
-            dims = np.array(batch.column(2).to_pylist())
-            at = np.empty(batch.num_rows)
-            for dim in np.unique(dims):
+def _cells(plans: dict[int, Tables]):
+    """(node, dim, t, cell) of rows (node, embedding, dim), for each table."""
+
+    def run(batches):
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                at[rows] = _unit(batch.column(1).take(pa.array(rows))) @ _directions(int(dim), LINES)[:, 0]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "at"])
+                cells = plans[dim].cells(_unit(batch.column(1).take(pa.array(rows))) @ _directions(dim))
+                n = cells.shape[1]
+                node = batch.column(0).to_numpy()[rows]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n)), pa.array(np.full(len(node) * n, dim, np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(node))), pa.array(cells.ravel().view(np.int64))], ["node", "dim", "t", "cell"])
+
+    return run
 
 
-def classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, fill: int = FILL) -> DataFrame:
     """(vec_id, n_links, component_id) of vectors (vec_id, embedding)."""
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     sound = F.expr("embedding IS NOT NULL AND size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) <= 1.7976931348623157E308) AND exists(embedding, x -> x <> 0)")
-    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    # Adding 0.0 makes -0.0 and 0.0 one value.
-    nodes = rows.where("sound").select("vec_id", F.transform("embedding", lambda x: x + F.lit(0.0)).alias("embedding")).groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
-    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).select("node", "embedding", F.size("embedding").alias("dim"), "least", "copies").mapInArrow(_projected, "node long, embedding array<double>, dim int, least long, copies long, at double"))
-    # Block bounds: approximate quantiles along one line, one for each `block` rows of a dimension.
-    sizes = nodes.groupBy("dim").count().collect()
-    width = reach(cosine)
-    tiles = None
-    for dim, total in sorted((r["dim"], r["count"]) for r in sizes):
-        own = nodes.where(F.col("dim") == dim)
-        many = -(-total // block)
-        cuts = sorted(set(own.approxQuantile("at", [k / many for k in range(1, many)], 0.2 / many))) if many > 1 else []
-        low, high = [float("-inf"), *cuts], [*cuts, float("inf")]
-        near = [[j for j in range(i, len(low)) if low[j] <= high[i] + width] for i in range(len(low))]
-        pairs = own.sparkSession.createDataFrame([(i, i, j) for i, js in enumerate(near) for j in js] + [(j, i, j) for i, js in enumerate(near) for j in js if j != i], "block int, first int, second int")
-        placed = own.withColumn("block", F.expr(f"cast(aggregate(array({', '.join(map(repr, cuts))}), 0, (n, c) -> n + CASE WHEN at > c THEN 1 ELSE 0 END) AS int)") if cuts else F.lit(0))
-        dealt = placed.join(F.broadcast(pairs) if many <= 512 else pairs, "block")
-        tiles = dealt if tiles is None else tiles.unionByName(dealt)
-    if tiles is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    found = materialise(tiles.select("dim", "first", "second", "block", "node", "copies", "embedding").groupBy("dim", "first", "second").applyInArrow(_tile(cosine), "a long, b long, links long"))
+    # Adding 0.0 makes -0.0 and 0.0 one value. Equal vectors are told by 128 bits of hash.
+    rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("embedding", F.when(F.col("sound"), F.transform("embedding", lambda x: x + F.lit(0.0))))
+    rows = rows.withColumn("h1", F.xxhash64("embedding")).withColumn("h2", F.xxhash64(F.lit(2), "embedding"))
+    nodes = rows.where("sound").groupBy("h1", "h2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("embedding")))
+    # One plan for each dimension that occurs.
+    plans = {r["dim"]: Tables.of(r["dim"], r["count"], cosine, fill=fill) for r in nodes.groupBy("dim").count().collect()}
+    keys = materialise(nodes.select("node", "embedding", "dim").mapInArrow(_cells(plans), "node long, dim int, t int, cell long"))
+    # Cells that one vector has to itself go; those of more than a block are dealt to tiles.
+    sizes = keys.groupBy("dim", "t", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    met = keys.join(sizes, ["dim", "t", "cell"])
+    met = met.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("node", "dim", "t", "cell", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
+    dealt = met.join(nodes.select("node", "embedding", "copies"), "node").select("cell", "first", "second", "t", "dim", "node", "copies", "block", "embedding")
+    order = ["cell", "first", "second", "t", "dim"]
+    found = materialise(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiles(plans, cosine), "a long, b long, links long"))
     comp = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    placed = nodes.join(comp, "node", "left").join(links, "node", "left").select("node", "embedding", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed = nodes.join(comp, "node", "left").join(links, "node", "left").select("h1", "h2", "least", F.coalesce("component", "node").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed = materialise(placed)
+    drop(nodes, keys, found, comp)
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
-    placed = placed.join(named, "component").select("embedding", "n_links", "component_id")
-    key = F.transform("embedding", lambda x: x + F.lit(0.0))
-    linked = rows.where("sound").select("vec_id", key.alias("embedding")).join(placed, "embedding").select("vec_id", "n_links", "component_id")
+    placed = placed.join(named, "component").select("h1", "h2", "n_links", "component_id")
+    linked = rows.where("sound").select("vec_id", "h1", "h2").join(placed, ["h1", "h2"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(rows.where("NOT sound").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "embeddings")).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return classes(table(spark, sf_dir, "embeddings")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT r, vec_id, e, e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0 AS sound FROM v),
+u AS (SELECT r, vec_id, len(e) AS dim, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS e FROM s WHERE sound),
+p AS (SELECT a.r AS a, b.r AS b FROM u a JOIN u b ON a.dim = b.dim AND a.r <> b.r WHERE list_inner_product(a.e, b.e) >= 0.95),
+c(r, id) AS (SELECT r, vec_id FROM v UNION SELECT p.b, c.id FROM c JOIN p ON p.a = c.r),
+m AS (SELECT r, min(id) AS component_id FROM c GROUP BY r),
+n AS (SELECT a AS r, count(*) AS n_links FROM p GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept
+FROM v JOIN m USING (r) LEFT JOIN n USING (r)"""
