@@ -8,12 +8,13 @@ A conversation is rendered as one training text:
 `### ` and `</turn>` are the control strings. parse() is a deterministic parser of that grammar: it splits at `### `,
 and fails on any piece that doesn't end in, or holds elsewhere, a `</turn>`. A conversation is rendered verbatim,
 parsed again and compared with its source; if they differ, the turns that don't survive alone are escaped, and if they
-still differ, all turns are. Escaping is reversible: a backslash becomes \s, `### ` becomes `#\h## `, `</turn>`
+still differ, all turns are; a text that isn't its source then, either, is an error. Escaping is reversible: a backslash becomes \s, `### ` becomes `#\h## `, `</turn>`
 becomes `<\t/turn>`; roles have %, #, <, backslash and newline percent-encoded.
 
 Defined results: a null role or text counts as empty; turns are ordered by (turn, role, text), a null turn first, and
-repeated rows are repeated turns; rows with a null conv_id form one conversation; an empty table formats to no rows;
-columns beyond conv_id, turn, role and text are not read. A conversation is one training text, so its turns meet in
+repeated rows are repeated turns; rows with a null conv_id are conversations of one turn each, as nothing says that they
+belong together; an empty table formats to no rows; columns beyond conv_id, turn, role and text are not read, so their
+names don't clash. A conversation is one training text, so its turns meet in
 one row; the format itself is linear in their number.
 """
 
@@ -77,7 +78,8 @@ def parse(text: str) -> str:
 def conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order."""
     one = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns")).withColumn("turns", F.expr("transform(turns, t -> named_struct('role', t.role, 'text', t.text))"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    return rows.select("conv_id", alone.alias("alone"), one.alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("turns")).select("conv_id", F.expr("transform(turns, t -> named_struct('role', t.role, 'text', t.text))").alias("turns"))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -89,10 +91,12 @@ def format_chats(rows: DataFrame) -> DataFrame:
     df = df.withColumn("_f1", F.expr(f"CASE WHEN NOT _ok0 THEN {render('turns', alone)} END"))
     df = df.withColumn("_ok1", F.expr(f"coalesce({parse('_f1')} = turns, false)"))
     df = df.withColumn("level", F.expr("CASE WHEN _ok0 THEN 0 WHEN _ok1 THEN 1 ELSE 2 END"))
-    df = df.withColumn("formatted", F.expr(f"CASE level WHEN 0 THEN _f0 WHEN 1 THEN _f1 ELSE {render('turns', 'true')} END"))
+    df = df.withColumn("_f2", F.expr(f"CASE WHEN level = 2 THEN {render('turns', 'true')} END"))
+    df = df.withColumn("_f2", F.expr(f"CASE WHEN level < 2 THEN NULL WHEN {parse('_f2')} = turns THEN _f2 ELSE raise_error('a conversation that no escaping keeps') END"))
+    df = df.withColumn("formatted", F.expr("CASE level WHEN 0 THEN _f0 WHEN 1 THEN _f1 ELSE _f2 END"))
     df = df.withColumn("_p", F.expr(pieces("formatted"))).withColumn("_t", F.expr(parse("formatted")))
     df = df.withColumn("parts", F.expr(f"transform(arrays_zip(_p, _t), z -> named_struct('head', z._p.head, 'body', z._p.body, 'role', z._t.role, 'text', z._t.text, 'escaped', endswith(z._p.head, '\\\\'), 'loss', z._t.role = '{LOSS_ROLE}'))"))
-    return df.drop("_f0", "_ok0", "_f1", "_ok1", "_p", "_t")
+    return df.drop("_f0", "_ok0", "_f1", "_ok1", "_f2", "_p", "_t")
 
 
 def loss_spans(formatted: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH r AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
-c AS (SELECT *, contains(text, '### ') OR contains(text, '</turn>') AS esc FROM r)
+c AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone, contains(text, '### ') OR contains(text, '</turn>') AS esc FROM r)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
@@ -137,4 +141,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
     + CASE WHEN esc THEN 1 + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '### ', ''))) // 4 * 2
       + (length(text) - length(replace(text, '</turn>', ''))) // 7 * 2 ELSE 0 END)::BIGINT AS formatted_chars,
   count_if(esc)::BIGINT AS escaped_turns
-FROM c GROUP BY conv_id"""
+FROM c GROUP BY conv_id, alone"""

@@ -6,7 +6,8 @@ ledger alone, so a policy can change without reading a text again.
 
 Defined results: a null or blank text has no words and fails `few_words`; a text of any length is measured whole;
 repeated rows are measured alike; an empty table gives an empty ledger (its ablations hold zero counts); columns
-other than the key and the text are not read, so extra or clashing columns do no harm.
+other than the key and the text are not read, so extra or clashing columns do no harm. Windows are compared by a hash of
+64 bits: two different ones in a text count as one with a probability of 2^-64 a pair.
 """
 
 from __future__ import annotations

@@ -12,6 +12,12 @@ batch at once give each unit's best path and what its second best loses; only th
 least can differ in its N best segmentations, so A-star searches those, and the N best of the chain are found by the
 same best-first search over their alternatives.
 
+Scores are log-probabilities of pieces. The model at hand is a BPE model, whose own scores are merge ranks and no measure
+of a segmentation; as merges come in the order of frequency, a piece of rank r gets the probability of Zipf's law,
+proportional to 1 / (r + SHIFT), over the whole vocabulary (a unigram model's scores are taken as they are). The best
+segmentation is thus the likeliest, not the one that merging greedily gives; on the test corpus the two agree on most
+words. A character of byte pieces scores PENALTY less than the rarest piece.
+
 Ties go to the segmentation whose last differing piece is longer; a model whose best path ties is thus decoded alike
 everywhere. Defined results: null and empty texts have no pieces, one segmentation and score 0; a text of any length
 is segmented whole; repeated rows alike; an empty table gives no rows; other columns are not read.
@@ -30,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
-from vellumgrid.llm._shared import table
+from vellumgrid.llm._shared import chunks, table
 
 SPACE = "▁"
 N_BEST = 4
@@ -39,6 +46,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units in a generation of those that a worker remembers (it keeps two), and the longest one that Viterbi takes in bulk.
 CACHE_UNITS, CACHE_LENGTH = 200_000, 24
 _CHUNK, _SLOTS = 4096, 1 << 18
+#: Of Zipf's law over merge ranks.
+SHIFT = 2.7
+#: Characters of text segmented together.
+CHUNK = 2_000_000
 #: How much less than the lowest regular piece a character of byte pieces scores.
 PENALTY = 10.0
 #: What this worker has learnt, by model.
@@ -86,7 +97,16 @@ def read_model(path: str = MODEL) -> Pieces:
             at[int(p[1:-1], 16)] = i
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             scores[p] = (i, sp.get_score(i))
-    return Pieces(scores, at, by_id)
+    return Pieces(log_probabilities(scores), at, by_id)
+
+
+def log_probabilities(scores: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float]]:
+    """The scores of a unigram model as they are; those of a BPE model, which are whole negative ranks, by Zipf's law."""
+    ranks = np.array([-s for _, s in scores.values()])
+    if not len(ranks) or (ranks != np.floor(ranks)).any():
+        return scores
+    likely = 1 / (ranks - ranks.min() + SHIFT)
+    return {p: (i, float(x)) for (p, (i, _)), x in zip(scores.items(), np.log(likely / likely.sum()), strict=True)}
 
 
 def normalise(text: str) -> str:
@@ -305,26 +325,49 @@ def encode(docs: DataFrame, model: Pieces, n: int = N_BEST) -> DataFrame:
         # A worker runs many tasks: what it remembers goes on while the model is the same.
         key = (len(model.by_id), model.lowest, hash(tuple(model.by_id)))
         learnt = _WORKER.setdefault(key, model)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                flat, sizes, scores, others, same = [], [], [], [], []
-                texts = batch.column(1).to_pylist()
-                for text, (first, *rest) in zip(texts, segment(texts, learnt, n), strict=True):
-                    ids = first[1][0][2]
-                    flat.append(np.fromiter(ids, np.int32, len(ids)))
-                    sizes.append(len(ids))
-                    scores.append(first[0])
-                    others.append([{"score": s, "edits": [{"at": a, "length": k, "ids": list(x)} for a, k, x in edits]} for s, edits in rest])
-                    back = b"".join(map(get, ids)).replace(space, b" ")
-                    same.append(back[1:] == (text or "").encode("utf-8", "replace") if ids else not text)
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(scores, pa.float64()), pa.array(others, _EDITS), pa.array(same, pa.bool_())], ["doc_id", "ids", "score", "others", "round_trip"])
+        for batch in chunks(batches, 1, CHUNK):
+            flat, sizes, scores, others, same = [], [], [], [], []
+            texts = batch.column(1).to_pylist()
+            for text, (first, *rest) in zip(texts, segment(texts, learnt, n), strict=True):
+                ids = first[1][0][2]
+                flat.append(np.fromiter(ids, np.int32, len(ids)))
+                sizes.append(len(ids))
+                scores.append(first[0])
+                others.append([{"score": s, "edits": [{"at": a, "length": k, "ids": list(x)} for a, k, x in edits]} for s, edits in rest])
+                back = b"".join(map(get, ids)).replace(space, b" ")
+                same.append(back[1:] == (text or "").encode("utf-8", "replace") if ids else not text)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            values = pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(scores, pa.float64()), pa.array(others, _EDITS), pa.array(same, pa.bool_())], ["doc_id", "ids", "score", "others", "round_trip"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+def alternatives(encoded: DataFrame) -> DataFrame:
+    """(doc_id, rank, score, ids) of encode()'s rows: the best segmentation, rank 0, and each of the others written out."""
+    edited = "aggregate(array_sort(x.edits, (a, b) -> b.at - a.at), ids, (acc, e) -> concat(slice(acc, 1, e.at), e.ids, slice(acc, e.at + e.length + 1, size(acc))))"
+    every = F.expr(f"concat(array(named_struct('score', score, 'ids', ids)), transform(others, x -> named_struct('score', x.score, 'ids', {edited})))")
+    return encoded.select("doc_id", F.posexplode(every).alias("rank", "x")).select("doc_id", "rank", "x.score", "x.ids")
+
+
+def decode_ids(encoded: DataFrame, model: Pieces, ids: str = "ids", text: str = "text") -> DataFrame:
+    """encoded with a column `text` that its ids spell; null ids give null, ids beyond the vocabulary an error."""
+    raw = [p.encode("utf-8", "replace") for p in model.by_id]
+    for b, i in enumerate(model.bytes_at):
+        raw[i] = bytes([b])
+    space = SPACE.encode()
+
+    @arrow_udf("string")
+    def spelt(ids: pa.Array) -> pa.Array:
+        out = []
+        for x in ids.to_pylist():
+            found = None if x is None else b"".join(map(raw.__getitem__, x)).replace(space, b" ").decode("utf-8", "replace")
+            out.append(found and found.removeprefix(" "))
+        return pa.array(out, pa.string())
+
+    return encoded.withColumn(text, spelt(F.col(ids)))
+
+
 def op10_segmentation(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     out = encode(table(spark, sf_dir, "documents"), read_model(model))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "score", "ids", "others", "round_trip")
