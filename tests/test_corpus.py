@@ -120,7 +120,7 @@ def test_matrix(spark, tmp_path):
 
 def test_bibliography(spark):
     b = spark.createDataFrame([("d", "k", "book", {"zz": "1", "title": "T {x}", "author": "A"})], "doc_id string, tag string, entry_type string, fields map<string,string>")
-    assert corpus.bib_text(b).first().text == "@book{k,\n  author = {A},\n  title = {T \\{x\\}},\n  zz = {1}\n}\n"
+    assert corpus.bib_text(b).first().text == "@book{k,\n  author = {A},\n  title = {T \\{x\\}},\n  zz = {1},\n}\n"
 
 
 def test_includes_and_stream(spark, tmp_path):

@@ -98,8 +98,7 @@ def image_size(data: bytes) -> tuple[float, float, float] | None:
                 return w, h, dpi
             at += 2 + n
         return None
-    head = data[:4096].decode("utf-8", "replace")
-    if m := re.search(r"<svg\b[^>]*>", head):
+    if data.lstrip()[:1] == b"<" and (m := re.search(r"<svg\b[^>]*>", data.decode("utf-8", "replace"))):
         per = {"": 1.0, "px": 1.0, "pt": 96 / 72, "in": 96.0, "cm": 96 / 2.54, "mm": 96 / 25.4}
         get = lambda k: re.search(rf'\b{k}="\s*([\d.]+)\s*(px|pt|in|cm|mm)?\s*"', m[0])
         w, h, box = get("width"), get("height"), re.search(r'viewBox="([^"]+)"', m[0])
@@ -123,6 +122,18 @@ def fitted_points(data: bytes, width: float | None, height: float | None) -> tup
     return (height * w / h, height) if height else (w, h)
 
 
+def media_type(filename: str, data: bytes) -> str | None:
+    """By the first bytes, else by the extension."""
+    # First bytes and extensions of image types.
+    for start, kind in ((b"\x89PNG\r\n\x1a\n", "image/png"), (b"\xff\xd8\xff", "image/jpeg"), (b"GIF8", "image/gif"), (b"BM", "image/bmp"), (b"II*\0", "image/tiff"), (b"MM\0*", "image/tiff")):
+        if data.startswith(start):
+            return kind
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP":
+        return "image/webp"
+    by_name = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "svg": "image/svg+xml", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "webp": "image/webp", "emf": "image/x-emf", "wmf": "image/x-wmf"}
+    return by_name.get(filename.rpartition(".")[2].lower())
+
+
 def font_names(data: bytes) -> tuple[list[str], list[str]]:
     """(family names, style names) of sfnt and collection files, from name ids 1, 16, 21 and 2, 17, 22."""
     offsets = [0]

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import io
-import re
 import xml.etree.ElementTree as ET
+from xml.parsers import expat
 
 # Namespaces of the transitional form.
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -20,24 +20,67 @@ DC = "http://purl.org/dc/elements/1.1/"
 DCT = "http://purl.org/dc/terms/"
 B = "http://schemas.openxmlformats.org/officeDocument/2006/bibliography"
 PREFIXES = {"w": W, "r": R, "m": M, "a": A, "wp": WP, "pic": PIC, "cp": CP, "dc": DC, "dcterms": DCT, "b": B}
+EP = "http://schemas.openxmlformats.org/officeDocument/2006/extended-properties"
+CUST = "http://schemas.openxmlformats.org/officeDocument/2006/custom-properties"
+VT = "http://schemas.openxmlformats.org/officeDocument/2006/docPropsVTypes"
+PREFIXES |= {"ep": EP, "cust": CUST, "vt": VT}
 # The strict form's namespaces.
 STRICT = {
     "http://purl.oclc.org/ooxml/wordprocessingml/main": W,
     "http://purl.oclc.org/ooxml/officeDocument/relationships": R,
-    "http://purl.oclc.org/ooxml/officeDocument/math": M,
+    "http://purl.oclc.org/ooxml/package/relationships": REL,
+    "http://purl.oclc.org/ooxml/package/content-types": CT,
     "http://purl.oclc.org/ooxml/drawingml/main": A,
     "http://purl.oclc.org/ooxml/drawingml/wordprocessingDrawing": WP,
     "http://purl.oclc.org/ooxml/drawingml/picture": PIC,
+    "http://purl.oclc.org/ooxml/officeDocument/math": M,
+    "http://purl.oclc.org/ooxml/package/metadata/core-properties": CP,
+    "http://purl.oclc.org/ooxml/officeDocument/extended-properties": EP,
+    "http://purl.oclc.org/ooxml/officeDocument/custom-properties": CUST,
+    "http://purl.oclc.org/ooxml/officeDocument/docPropsVTypes": VT,
     "http://purl.oclc.org/ooxml/officeDocument/bibliography": B,
 }
+# Prefixes of the strict form's relationship types.
+STRICT_TYPES = {
+    "http://purl.oclc.org/ooxml/officeDocument/relationships/": "http://schemas.openxmlformats.org/officeDocument/2006/relationships/",
+    "http://purl.oclc.org/ooxml/package/relationships/metadata/": "http://schemas.openxmlformats.org/package/2006/relationships/metadata/",
+}
 for _prefix, _uri in PREFIXES.items():
-    ET.register_namespace(_prefix, _uri)
+    if _prefix not in ("ep", "cust"):
+        ET.register_namespace(_prefix, _uri)
+
+# The order that the schema gives to the children of an element.
+CHILD_ORDER = {
+    "pPr": "pStyle keepNext keepLines pageBreakBefore framePr widowControl numPr suppressLineNumbers pBdr shd tabs suppressAutoHyphens kinsoku wordWrap overflowPunct topLinePunct autoSpaceDE autoSpaceDN bidi adjustRightInd snapToGrid spacing ind contextualSpacing mirrorIndents suppressOverlap jc textDirection textAlignment textboxTightWrap outlineLvl divId cnfStyle rPr sectPr pPrChange",
+    "rPr": "rStyle rFonts b bCs i iCs caps smallCaps strike dstrike outline shadow emboss imprint noProof snapToGrid vanish webHidden color spacing w kern position sz szCs highlight u effect bdr shd fitText vertAlign rtl cs em lang eastAsianLayout specVanish oMath rPrChange",
+    "style": "name aliases basedOn next link autoRedefine hidden uiPriority semiHidden unhideWhenUsed qFormat locked personal personalCompose personalReply rsid pPr rPr tblPr trPr tcPr tblStylePr",
+    "sectPr": "headerReference footerReference footnotePr endnotePr type pgSz pgMar paperSrc pgBorders lnNumType pgNumType cols formProt vAlign noEndnote titlePg textDirection bidi rtlGutter docGrid printerSettings sectPrChange",
+    "lvl": "start numFmt lvlRestart pStyle isLgl suff lvlText lvlPicBulletId legacy lvlJc pPr rPr",
+}
+_RANK = {parent: {c: k for k, c in enumerate(names.split())} for parent, names in CHILD_ORDER.items()}
+
+
+def in_order(e: ET.Element) -> ET.Element:
+    """The element with its children in the schema's order; unknown ones come last, equals stay as they were."""
+    rank = _RANK.get(local(e.tag), {})
+    e[:] = sorted(e, key=lambda c: rank.get(local(c.tag), len(rank)))
+    return e
+
+
+def _refuse(*_) -> None:
+    raise ValueError("document types and entities aren't allowed")
 
 
 def parse(data: bytes) -> ET.Element:
     """The root of a part: no document type, no entities; strict namespaces become transitional."""
-    if re.search(rb"<!(DOCTYPE|ENTITY)", data[:65536], re.I):
-        raise ValueError("document types and entities aren't allowed")
+    # Only an encoding of more than one byte a character can hide the word; a parser then says whether it is a declaration.
+    if b"DOCTYPE" in data or b"\0" in data[:64]:
+        p = expat.ParserCreate()
+        p.StartDoctypeDeclHandler = p.EntityDeclHandler = _refuse
+        try:
+            p.Parse(data, True)
+        except expat.ExpatError as e:
+            raise ET.ParseError(str(e)) from e
     root = ET.fromstring(data)
     for e in root.iter():
         if e.tag[:1] == "{" and (uri := e.tag[1:].split("}")[0]) in STRICT:
@@ -49,7 +92,7 @@ def parse(data: bytes) -> ET.Element:
 
 def relationship_type(kind: str) -> str:
     """A relationship type in the transitional form."""
-    for strict, own in STRICT.items():
+    for strict, own in (STRICT_TYPES | STRICT).items():
         if kind.startswith(strict):
             return own + kind[len(strict) :]
     return kind
@@ -95,7 +138,7 @@ def dump(root: ET.Element) -> bytes:
     return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ET.tostring(root, encoding="utf-8")
 
 
-def make(name: str, *children: ET.Element | None, text: str | None = None, **attrs) -> ET.Element:
+def make(name: str, /, *children: ET.Element | None, text: str | None = None, **attrs) -> ET.Element:
     """An element; attributes with __ are prefixed names (w__val)."""
     e = ET.Element(q(name), {q(k.replace("__", ":")) if "__" in k else k: str(v) for k, v in attrs.items() if v is not None})
     e.extend(c for c in children if c is not None)

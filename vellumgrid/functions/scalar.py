@@ -369,3 +369,16 @@ def people(last: Column, first: Column, middle: Column, suffix: Column) -> Colum
     """`Last, First Middle, Suffix` without the parts that are missing."""
     given = F.trim(F.concat_ws(" ", F.nullif(first, F.lit("")), F.nullif(middle, F.lit(""))))
     return F.concat_ws(", ", F.nullif(last, F.lit("")), F.nullif(given, F.lit("")), F.nullif(suffix, F.lit("")))
+
+
+# --- Maps --------------------------------------------------------------------------------------------------------
+
+
+def stable_json(m: Column) -> Column:
+    """A map of strings as JSON with its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(m))))
+
+
+def is_empty_style(m: Column) -> Column:
+    """Whether a map of properties says nothing: it is null, or all its values are."""
+    return F.coalesce(~F.exists(F.map_values(m), lambda v: v.isNotNull()), F.lit(True))

@@ -36,6 +36,21 @@ def document_stats(nodes: DataFrame) -> DataFrame:
     )
 
 
+FLAGS = ["has_raw", "has_field", "has_change", "has_comment", "has_citation", "has_control", "has_bibliography"]
+
+
+def feature_flags(nodes: DataFrame) -> DataFrame:
+    """(doc_id, FLAGS): which features a document uses."""
+    return document_stats(nodes).select("doc_id", *FLAGS)
+
+
+def writer_fonts(nodes: DataFrame, always: tuple[str, ...] = ("Calibri", "Consolas")) -> DataFrame:
+    """(doc_id, families): the names that a document's package lists, sorted: its texts' fonts and the two of every package."""
+    named = nodes.where("kind = 'text'").select("doc_id", F.col("style")["font"].alias("family")).where("family IS NOT NULL AND family <> 'mono'")
+    every = nodes.select("doc_id").distinct().select("doc_id", F.explode(F.array(*map(F.lit, always))).alias("family"))
+    return named.unionByName(every).groupBy("doc_id").agg(F.array_sort(F.collect_set("family")).alias("families"))
+
+
 def text_stats(files: DataFrame) -> DataFrame:
     """(doc_id, n_chars, n_lines, sha256) of texts."""
     return files.select("doc_id", F.length("text").cast("long").alias("n_chars"), scalar.line_count(F.col("text")).alias("n_lines"), F.sha2("text", 256).alias("sha256"))
@@ -69,6 +84,24 @@ def distinct_resources(resources: DataFrame) -> DataFrame:
     return resources.withColumn("checksum", F.sha2("data", 256)).withColumn("canonical_id", F.first("id").over(w))
 
 
+def merge_resources(*tables: DataFrame) -> DataFrame:
+    """The union of resource tables (doc_id, id, …) of the same columns; of rows that share an id the later table's wins."""
+    names = tables[0].columns
+    both = reduce(DataFrame.unionByName, [t.select(*names, F.lit(k).alias("_k")) for k, t in enumerate(tables)])
+    won = both.groupBy("doc_id", "id").agg(F.max_by(F.struct(*names), "_k").alias("r"))
+    return won.select("r.*")
+
+
+def by_family(fonts: DataFrame) -> DataFrame:
+    """Fonts with their place among a document's, by family whatever its case; equal ones by variant."""
+    return fonts.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lower("family"), "variant")))
+
+
+def holds_all(have: Column, want: Column) -> Column:
+    """Whether every element of one array is in the other."""
+    return F.size(F.array_except(want, have)) == 0
+
+
 def asset_names(resources: DataFrame) -> DataFrame:
     """File names for resources: on a clash of names with different bytes the later ones get the end of their id."""
     safe = scalar.sanitize_filename(F.col("filename"))
@@ -135,6 +168,13 @@ def child_order_errors(children: DataFrame, order: DataFrame) -> DataFrame:
     return bad.groupBy("doc_id", "part", "parent_id", "parent_name").agg(F.bool_or(F.coalesce("_b", F.lit(False))).alias("_bad"), names.alias("children")).where("_bad").drop("_bad")
 
 
+def schema_ordered(children: DataFrame, order: DataFrame) -> DataFrame:
+    """Children (doc_id, part, parent_id, parent_name, ord, child) with their `place` in the schema's order (parent_name, child, rank): unknown ones last, equals as they stood. order is a schema's own table and small."""
+    r = children.join(order, ["parent_name", "child"], "left")
+    w = Window.partitionBy("doc_id", "part", "parent_id").orderBy(F.col("rank").asc_nulls_last(), "ord")
+    return r.withColumn("place", F.row_number().over(w)).drop("rank")
+
+
 def page_numbering(inlines: DataFrame) -> DataFrame:
     """(doc_id, slot, pattern): headers and footers of one paragraph made of text and page fields only, with a safe numbering pattern. inlines: (doc_id, slot, block, pre, kind, text)."""
     cmd = scalar.field_command(F.coalesce("text", F.lit("")))
@@ -206,6 +246,16 @@ def coverage_counts(matrix: DataFrame) -> DataFrame:
     return long.groupBy("direction", "measure", "value").agg(F.count("*").alias("n"))
 
 
+def export_matrix(matrix: DataFrame, category: str | None = None, query: str | None = None) -> DataFrame:
+    """One row `markdown`: the whole matrix with all its columns; what a search leaves of it, headed by its number of rows, with six of them."""
+    found = search(matrix, category, query)
+    n = found.count()
+    if n == matrix.count():
+        return matrix_markdown(matrix, matrix.columns)
+    short = matrix_markdown(found, ["id", "category", "markup", "package", "to_package", "to_markup"])
+    return short.select(F.concat(F.lit(f"Rows: {n}\n\n"), "markdown").alias("markdown"))
+
+
 def matrix_json(rows: DataFrame) -> DataFrame:
     """One row `json`: the rows in the order of ids. A report, so it gathers its rows in one text."""
     one = F.to_json(F.struct(*rows.columns))
@@ -228,17 +278,22 @@ def write_csv(rows: DataFrame, path: str, force: bool = False) -> None:
 # --- bibliography -------------------------------------------------------------------------------------------------
 
 #: Fields of an entry that come first, in this order.
-BIB_FIELDS = ["author", "editor", "title", "booktitle", "journaltitle", "publisher", "location", "date", "volume", "number", "pages", "edition", "doi", "isbn", "url", "urldate"]
+BIB_FIELDS = [
+    "author", "editor", "translator", "title", "shorttitle", "booktitle",
+    "journaltitle", "eventtitle", "year", "month", "day", "volume", "number",
+    "pages", "edition", "publisher", "institution", "organization", "location",
+    "isbn", "issn", "url", "urldate", "type", "howpublished", "venue", "note",
+]
 
 
 def bib_text(entries: DataFrame) -> DataFrame:
-    """(doc_id, text): entries (doc_id, tag, entry_type, fields map) as bibliography source, preferred fields first, the rest by name."""
+    """(doc_id, text): entries (doc_id, tag, entry_type, fields map) as bibliography source, preferred fields first, the rest by name, empty ones left out."""
     rank = F.array(*map(F.lit, BIB_FIELDS))
-    keys = F.map_keys("fields")
+    keys = F.filter(F.map_keys("fields"), lambda k: F.coalesce(F.element_at(F.col("fields"), k), F.lit("")) != "")
     place = lambda k: F.coalesce(F.nullif(F.array_position(rank, k), F.lit(0)), F.lit(len(BIB_FIELDS) + 1))
     ordered = F.array_sort(F.transform(keys, lambda k: F.struct(place(k).alias("p"), k.alias("k"))))
     lines = F.transform(ordered, lambda x: F.concat(F.lit("  "), x["k"], F.lit(" = "), scalar.bib_value(F.element_at(F.col("fields"), x["k"]))))
-    entry = F.concat(F.lit("@"), "entry_type", F.lit("{"), "tag", F.lit(",\n"), F.array_join(lines, ",\n"), F.lit("\n}\n"))
+    entry = F.concat(F.lit("@"), "entry_type", F.lit("{"), "tag", F.lit(",\n"), F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit(",\n"))), ""), F.lit("}\n"))
     return entries.select("doc_id", "tag", entry.alias("e")).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tag", "e"))), lambda x: x["e"]), "\n").alias("text"))
 
 

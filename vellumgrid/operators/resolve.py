@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -68,13 +70,15 @@ def unresolved_references(nodes: DataFrame) -> DataFrame:
 
 def style_chain(styles: DataFrame) -> DataFrame:
     """(doc_id, style_id, ancestor, depth, cyclic): each style, its based-on chain, nearest first, and the document defaults last. A base that is missing or the style itself leads to the defaults; a cycle ends the chain where it closes, and nothing else cuts it."""
-    styles.select("doc_id", "style_id", "based_on").createOrReplaceTempView("_vellumgrid_styles")
-    chain = styles.sparkSession.sql("""WITH RECURSIVE c(doc_id, style_id, ancestor, next, depth, path) MAX RECURSION LEVEL 1000000 AS (
-        SELECT doc_id, style_id, style_id, based_on, 0, array(style_id) FROM _vellumgrid_styles
+    view = f"_styles_{uuid.uuid4().hex}"
+    styles.select("doc_id", "style_id", "based_on").createOrReplaceTempView(view)
+    chain = styles.sparkSession.sql(f"""WITH RECURSIVE c(doc_id, style_id, ancestor, next, depth, path) MAX RECURSION LEVEL 1000000 AS (
+        SELECT doc_id, style_id, style_id, based_on, 0, array(style_id) FROM {view}
         UNION ALL SELECT c.doc_id, c.style_id, s.style_id, s.based_on, c.depth + 1, concat(c.path, array(s.style_id))
-          FROM c JOIN _vellumgrid_styles s ON c.doc_id = s.doc_id AND c.next = s.style_id
+          FROM c JOIN {view} s ON c.doc_id = s.doc_id AND c.next = s.style_id
           WHERE NOT array_contains(c.path, s.style_id))
       SELECT doc_id, style_id, ancestor, depth, next IS NOT NULL AND array_contains(path, next) AS cyclic FROM c""")
+    styles.sparkSession.catalog.dropTempView(view)
     ends = chain.groupBy("doc_id", "style_id").agg(F.max("depth").alias("last"), F.bool_or("cyclic").alias("loop"))
     base = ends.where("NOT loop AND style_id <> '__docDefaults__'").join(styles.where("style_id = '__docDefaults__'").select("doc_id").distinct(), "doc_id").select("doc_id", "style_id", F.lit("__docDefaults__").alias("ancestor"), (F.col("last") + 1).alias("depth"), F.lit(False).alias("cyclic"))
     return chain.unionByName(base)
@@ -95,6 +99,25 @@ def resolve_styles(styles: DataFrame, scalars: list[str], maps: tuple[str, ...]
     return rows.groupBy("doc_id", "style_id").agg(*aggs)
 
 
+def styled(nodes: DataFrame, styles: DataFrame) -> DataFrame:
+    """Paragraphs, headings and texts with `effective`, their properties with those inherited: what they say themselves first, then their style's chain, then the document defaults. styles: (doc_id, style_id, based_on, paragraph map, text map); a style that isn't there leaves the defaults."""
+    rows = nodes.where("kind IN ('paragraph', 'heading', 'text')")
+    known = resolve_styles(styles, [], ("paragraph", "text")).select("doc_id", "style_id", "paragraph", "text")
+    named, base = known.where("style_id <> '__docDefaults__'").withColumnsRenamed({"paragraph": "_p", "text": "_t"}), known.where("style_id = '__docDefaults__'").select("doc_id", F.col("paragraph").alias("_dp"), F.col("text").alias("_dt"))
+    r = rows.withColumn("style_id", F.col("style")["style_id"]).join(named, ["doc_id", "style_id"], "left").join(base, "doc_id", "left")
+    run = F.col("kind") == "text"
+    inherited = F.coalesce(F.when(run, F.col("_t")).otherwise(F.col("_p")), F.when(run, F.col("_dt")).otherwise(F.col("_dp")), F.create_map().cast("map<string,string>"))
+    own = F.coalesce("style", F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(inherited, lambda k, v: ~F.map_contains_key(own, k))
+    return r.withColumn("effective", F.map_concat(kept, own)).drop("_p", "_t", "_dp", "_dt", "style_id")
+
+
+def comments_in_order(nodes: DataFrame) -> DataFrame:
+    """Comments with their place in the document's list, by their ids as strings: 10 comes before 2."""
+    w = _doc().orderBy(F.col("attrs")["id"])
+    return nodes.where("kind = 'comment'").withColumn("place", F.row_number().over(w))
+
+
 def numbering_lookup(paragraphs: DataFrame, instances: DataFrame, levels: DataFrame, overrides: DataFrame) -> DataFrame:
     """paragraphs (doc_id, …, num_id, level) with num_format, level_text and start: an override first, then the abstract level, then decimal, `%n.` and 1."""
     o = overrides.select("doc_id", "num_id", "level", F.col("num_format").alias("_of"), F.col("text").alias("_ot"), F.col("start_override").alias("_os"))

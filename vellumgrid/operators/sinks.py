@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-import xml.etree.ElementTree as ET
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumgrid.functions import binary, mathml
-from vellumgrid.functions import ooxml as x
-from vellumgrid.functions.ooxml import make
+from vellumgrid.functions import binary
+from vellumgrid.operators import corpus
+from vellumgrid.operators.package_writer import PackageWriter
 from vellumgrid.sources.markup import Node, tree
 
 _SPECIAL = re.compile(r"([\\#*_`$@<>\[\]~])")
@@ -36,20 +35,26 @@ def quoted(text: str) -> str:
 
 
 class MarkupWriter:
+    """One text. The k-th section break sets the page as the section after it does."""
+
+    def page(self, n: Node) -> str | None:
+        plain = ("columns", "flipped")
+        length = r"[-.0-9]+(pt|mm|cm|in|em)$"
+        args = [f"{k}: {v if k in plain or v == 'auto' or re.match(length, v) else quoted(v)}" for k, v in n.attrs.items() if k in ("width", "height", "columns", "paper", "flipped", "numbering")]
+        sides = [f"{k[7:]}: {v}" for k, v in n.attrs.items() if k in ("margin_top", "margin_right", "margin_bottom", "margin_left")]
+        if sides:
+            args.append(f"margin: ({', '.join(sides)})")
+        return f"#set page({', '.join(args)})" if args else None
+
     def text(self, nodes: list[Node]) -> str:
-        head = []
-        for n in nodes:
-            if n.kind == "document" and n.attrs:
-                head.append("#set document(" + ", ".join(f"{k}: {quoted(v)}" for k, v in n.attrs.items()) + ")")
-            elif n.kind == "section":
-                args = [f"{k}: {v if k in ('columns', 'flipped') or v == 'auto' or re.match(r'[-.0-9]+(pt|mm|cm|in|em)$', v) else quoted(v)}" for k, v in n.attrs.items() if k in ("width", "height", "columns", "paper", "flipped", "numbering")]
-                sides = [f"{k[7:]}: {v}" for k, v in n.attrs.items() if k in ("margin_top", "margin_right", "margin_bottom", "margin_left")]
-                if sides:
-                    args.append(f"margin: ({', '.join(sides)})")
-                if args:
-                    head.append(f"#set page({', '.join(args)})")
+        head = ["#set document(" + ", ".join(f"{k}: {quoted(v)}" for k, v in n.attrs.items()) + ")" for n in nodes if n.kind == "document" and n.attrs]
+        self.sections = [n for n in nodes if n.kind == "section"]
+        if self.sections and (first := self.page(self.sections.pop(0))):
+            head.append(first)
         body = self.blocks([n for n in nodes if n.cls == "block"])
-        comments = [f"// comment {n.attrs.get('id', '')} by {n.attrs.get('author', '')}: " + self.plain(n).replace("\n", " ") for n in nodes if n.kind == "comment"]
+        # Comments go by their ids as strings.
+        notes = sorted((n for n in nodes if n.kind == "comment"), key=lambda n: n.attrs.get("id", ""))
+        comments = [f"// comment {n.attrs.get('id', '')} by {n.attrs.get('author', '')}: " + self.plain(n).replace("\n", " ") for n in notes]
         return "\n".join(head) + ("\n\n" if head else "") + body + ("\n\n" + "\n".join(comments) if comments else "") + "\n"
 
     def plain(self, n: Node) -> str:
@@ -66,13 +71,16 @@ class MarkupWriter:
         if n.kind == "heading":
             return f"#title[{self.inlines(inner)}]{mark}" if n.level == 0 else f"{'=' * (n.level or 1)} {self.inlines(inner)}{mark}"
         if n.kind == "list":
-            return self.list(n, 0)
+            pattern = n.numbering if n.attrs.get("format") == "decimal" and n.numbering not in (None, "1.") else None
+            return f"#[#set enum(numbering: {quoted(pattern)})\n{self.list(n, 0)}\n]" if pattern else self.list(n, 0)
         if n.kind == "code":
             fence = "`" * max(3, 1 + max((len(m) for m in re.findall(r"`+", n.text or "")), default=0))
             return f"{fence}{n.attrs.get('language', '')}\n{n.text or ''}\n{fence}"
         if n.kind == "math_block":
             return f"$ {n.text or ''} ${mark}"
         if n.kind == "break_block":
+            if n.attrs.get("type") == "section" and self.sections and (rule := self.page(self.sections.pop(0))):
+                return rule
             return "#colbreak()" if n.attrs.get("type") == "column" else "#pagebreak()"
         if n.kind == "divider":
             return "#line(length: 100%)"
@@ -163,242 +171,20 @@ class MarkupWriter:
         return f"#text({', '.join(args)})[{out}]" if args else out
 
 
-# --- packages -----------------------------------------------------------------------------------------------------
-
-
-class PackageWriter:
-    """One package; every id follows from the nodes' order, so equal nodes give equal bytes."""
-
-    def __init__(self) -> None:
-        self.rels: list[tuple[str, str, str]] = []
-        self.lists: list[tuple[str, int]] = []
-        self.notes: list[ET.Element] = []
-        self.marks: dict[str, int] = {}
-
-    def rel(self, kind: str, target: str, mode: str = "") -> str:
-        """The id of a relationship; equal ones share it."""
-        key = (kind, target, mode)
-        if key not in self.rels:
-            self.rels.append(key)
-        return f"rId{self.rels.index(key) + 1}"
-
-    def package(self, nodes: list[Node], extra: dict[str, bytes] | None = None) -> bytes:
-        body = make("w:body")
-        body.extend(self.blocks([n for n in nodes if n.cls == "block"]))
-        section = next((n.attrs for n in nodes if n.kind == "section"), {})
-        body.append(self.section(section))
-        parts = {"word/document.xml": x.dump(make("w:document", body))}
-        office = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
-        self.rel(f"{office}/styles", "styles.xml")
-        parts["word/styles.xml"] = x.dump(self.styles())
-        kinds = {"word/document.xml": "document.main", "word/styles.xml": "styles"}
-        if self.lists:
-            self.rel(f"{office}/numbering", "numbering.xml")
-            parts["word/numbering.xml"], kinds["word/numbering.xml"] = x.dump(self.numbering()), "numbering"
-        if self.notes:
-            self.rel(f"{office}/footnotes", "footnotes.xml")
-            parts["word/footnotes.xml"], kinds["word/footnotes.xml"] = x.dump(make("w:footnotes", *self.notes)), "footnotes"
-        document = next((n.attrs for n in nodes if n.kind == "document"), {})
-        core = make("cp:coreProperties", *[make(name, text=document[k]) for k, name in (("title", "dc:title"), ("author", "dc:creator"), ("description", "dc:description"), ("keywords", "cp:keywords")) if k in document])
-        parts["docProps/core.xml"] = x.dump(core)
-        parts["word/_rels/document.xml.rels"] = self.relationships(self.rels)
-        parts["_rels/.rels"] = self.relationships([(f"{office}/officeDocument", "word/document.xml", ""), ("http://schemas.openxmlformats.org/package/2006/relationships/metadata/core-properties", "docProps/core.xml", "")])
-        parts |= extra or {}
-        wml = "application/vnd.openxmlformats-officedocument.wordprocessingml."
-        types = ET.Element(f"{{{x.CT}}}Types")
-        for ext, kind in (("rels", "application/vnd.openxmlformats-package.relationships+xml"), ("xml", "application/xml"), ("png", "image/png")):
-            ET.SubElement(types, f"{{{x.CT}}}Default", Extension=ext, ContentType=kind)
-        for part, kind in sorted(kinds.items()):
-            ET.SubElement(types, f"{{{x.CT}}}Override", PartName="/" + part, ContentType=f"{wml}{kind}+xml")
-        ET.SubElement(types, f"{{{x.CT}}}Override", PartName="/docProps/core.xml", ContentType="application/vnd.openxmlformats-package.core-properties+xml")
-        parts["[Content_Types].xml"] = x.dump(types)
-        return binary.zip_bytes(parts)
-
-    @staticmethod
-    def relationships(rels: list[tuple[str, str, str]]) -> bytes:
-        root = ET.Element(f"{{{x.REL}}}Relationships")
-        for k, (kind, target, mode) in enumerate(rels, 1):
-            ET.SubElement(root, f"{{{x.REL}}}Relationship", Id=f"rId{k}", Type=kind, Target=target, **({"TargetMode": mode} if mode else {}))
-        return x.dump(root)
-
-    def styles(self) -> ET.Element:
-        style = lambda sid, name, *more, kind="paragraph": make("w:style", make("w:name", w__val=name), *more, w__type=kind, w__styleId=sid)
-        heads = [style(f"Heading{k}", f"heading {k}", make("w:basedOn", w__val="Normal"), make("w:pPr", make("w:outlineLvl", w__val=k - 1))) for k in range(1, 10)]
-        return make("w:styles", style("Normal", "Normal"), style("Title", "Title", make("w:basedOn", w__val="Normal")), *heads, style("Quote", "Quote"), style("Code", "Code"))
-
-    def numbering(self) -> ET.Element:
-        root = make("w:numbering")
-        fmts = {"decimal": ("decimal", "%{}."), "bullet": ("bullet", "•"), "term": ("none", "")}
-        for k, (fmt, start) in enumerate(self.lists):
-            form, text = fmts.get(fmt, fmts["bullet"])
-            root.append(make("w:abstractNum", *[make("w:lvl", make("w:start", w__val=start), make("w:numFmt", w__val=form), make("w:lvlText", w__val=text.format(lvl + 1)), w__ilvl=lvl) for lvl in range(9)], w__abstractNumId=k))
-        for k in range(len(self.lists)):
-            root.append(make("w:num", make("w:abstractNumId", w__val=k), w__numId=k + 1))
-        return root
-
-    @staticmethod
-    def twips(length: str | None) -> int | None:
-        m = re.match(r"(-?[\d.]+)(pt|mm|cm|in)$", length or "")
-        return None if not m else round(float(m[1]) * {"pt": 1, "mm": 72 / 25.4, "cm": 72 / 2.54, "in": 72}[m[2]] * 20)
-
-    def section(self, a: dict[str, str]) -> ET.Element:
-        w, h = self.twips(a.get("width")) or 11906, self.twips(a.get("height")) or 16838
-        if a.get("flipped") == "true":
-            w, h = h, w
-        sides = {side: self.twips(a.get(f"margin_{side}")) for side in ("top", "right", "bottom", "left")}
-        margins = {f"w__{k}": 1440 if v is None else v for k, v in sides.items()}
-        cols = make("w:cols", w__num=a["columns"]) if a.get("columns", "1") != "1" else None
-        return make("w:sectPr", make("w:pgSz", w__w=w, w__h=h), make("w:pgMar", **margins), cols)
-
-    def blocks(self, nodes: list[Node], num: int | None = None, level: int = 0) -> list[ET.Element]:
-        out: list[ET.Element] = []
-        for n in nodes:
-            made = self.block(n, num, level)
-            if made and out and x.local(out[-1].tag) == "tbl" and x.local(made[0].tag) == "tbl":
-                out.append(make("w:p"))  # tables that touch would merge
-            out += made
-        return out
-
-    def paragraph(self, inlines: list[Node], style: str | None = None, num: int | None = None, level: int = 0, label: str | None = None) -> ET.Element:
-        n = make("w:numPr", make("w:ilvl", w__val=level), make("w:numId", w__val=num)) if num is not None else None
-        ppr = make("w:pPr", make("w:pStyle", w__val=style) if style else None, n) if style or n is not None else None
-        return make("w:p", ppr, *([self.mark(label, "start")] if label else []), *self.inlines(inlines), *([self.mark(label, "end")] if label else []))
-
-    def mark(self, name: str, kind: str) -> ET.Element:
-        k = self.marks.setdefault(name, len(self.marks))
-        return make("w:bookmarkStart", w__id=k, w__name=name) if kind == "start" else make("w:bookmarkEnd", w__id=k)
-
-    def block(self, n: Node, num: int | None, level: int) -> list[ET.Element]:
-        inner, below = [c for c in n.children if c.cls == "inline"], [c for c in n.children if c.cls == "block"]
-        if n.kind == "paragraph":
-            return [self.paragraph(inner, num=num, level=level)]
-        if n.kind == "heading":
-            return [self.paragraph(inner, "Title" if n.level == 0 else f"Heading{n.level}", label=n.label)]
-        if n.kind == "list":
-            self.lists.append((n.attrs.get("format", "bullet"), int(n.attrs.get("start", "1") or 1)))
-            own, out = len(self.lists), []
-            for item in n.children:
-                at = item.level or 0
-                first = [c for c in item.children if c.kind == "paragraph"][:1]
-                out += self.blocks(first, own, at) or [self.paragraph([], num=own, level=at)]
-                out += self.blocks([c for c in item.children if c not in first], own, at)
-            return out
-        if n.kind == "table":
-            return [self.table(n)]
-        if n.kind == "code":
-            lines = (n.text or "").split("\n")
-            runs = [r for k, line in enumerate(lines) for r in ([make("w:r", make("w:br"))] if k else []) + [make("w:r", self.t(line))]]
-            return [make("w:p", make("w:pPr", make("w:pStyle", w__val="Code")), *runs)]
-        if n.kind == "math_block":
-            return [make("w:p", make("m:oMathPara", mathml.to_omml(n.text or "")))]
-        if n.kind == "break_block":
-            return [make("w:p", make("w:r", make("w:br", w__type="column" if n.attrs.get("type") == "column" else "page")))]
-        if n.kind == "quote":
-            return [self.paragraph([c for c in b.children if c.cls == "inline"], "Quote") if b.kind == "paragraph" else self.block(b, None, 0)[0] for b in below]
-        if n.kind == "figure":
-            caption = [c for c in n.children if c.slot == "caption"]
-            return self.blocks(below) + ([self.paragraph(caption, "Caption")] if caption else [])
-        if n.kind == "control":
-            return [make("w:sdt", make("w:sdtPr", *[make(f"w:{k}", w__val=v) for k, v in n.attrs.items() if k in ("alias", "tag")]), make("w:sdtContent", *self.blocks(below)))]
-        if n.kind == "divider":
-            return [make("w:p", make("w:pPr", make("w:pBdr", make("w:bottom", w__val="single", w__sz=6))))]
-        if n.kind == "raw_block" and n.attrs.get("format") == "xml":
-            return [ET.fromstring(binary.ungzip_b64(n.text or ""))]
-        return []
-
-    def table(self, n: Node) -> ET.Element:
-        columns = int(n.attrs.get("columns", "1"))
-        held: dict[tuple[int, int], tuple[int, int]] = {}
-        for r in n.children:
-            for c in r.children:
-                row, col = int(c.attrs.get("row", 0)), int(c.attrs.get("col", 0))
-                for k in range(1, int(c.attrs.get("rowspan", "1"))):
-                    held[row + k, col] = (int(c.attrs.get("colspan", "1")), k)
-        t = make("w:tbl", make("w:tblPr", make("w:tblW", w__w=0, w__type="auto")), make("w:tblGrid", *[make("w:gridCol") for _ in range(columns)]))
-        rows = {int(r.attrs.get("row", k)): r for k, r in enumerate(n.children)}
-        for k in range(max([*rows, *(r for r, _ in held)], default=-1) + 1):
-            cells = {int(c.attrs.get("col", 0)): c for c in (rows[k].children if k in rows else [])}
-            header = bool(cells) and all(c.attrs.get("header") == "true" for c in cells.values())
-            tr = make("w:tr", make("w:trPr", make("w:tblHeader")) if header else None)
-            col = 0
-            while col < columns:
-                c = cells.get(col)
-                span = int(c.attrs.get("colspan", "1")) if c else held.get((k, col), (1, 0))[0]
-                down = int(c.attrs.get("rowspan", "1")) if c else 1
-                merge = make("w:vMerge", w__val="restart") if down > 1 else make("w:vMerge") if (k, col) in held and not c else None
-                pr = make("w:tcPr", make("w:gridSpan", w__val=span) if span > 1 else None, merge)
-                tr.append(make("w:tc", pr, *((self.blocks(c.children) if c else []) or [make("w:p")])))
-                col += span
-            t.append(tr)
-        return t
-
-    @staticmethod
-    def t(text: str) -> ET.Element:
-        e = make("w:t", text=text)
-        e.set("{http://www.w3.org/XML/1998/namespace}space", "preserve")
-        return e
-
-    def rpr(self, s: dict[str, str]) -> ET.Element | None:
-        on = lambda k: s.get(k, "false") not in ("false", "none")
-        size = self.twips(s.get("size"))
-        font = s.get("font")
-        items = [
-            make("w:rFonts", w__ascii="Consolas" if font == "mono" else font) if font else None,
-            make("w:b") if on("bold") else None, make("w:i") if on("italic") else None, make("w:caps") if on("caps") else None, make("w:smallCaps") if on("small_caps") else None,
-            make("w:strike") if on("strike") else None, make("w:color", w__val=s["color"]) if re.fullmatch(r"[0-9A-Fa-f]{6}", s.get("color", "")) else None, make("w:sz", w__val=round(size / 10)) if size else None,
-            make("w:highlight", w__val="yellow") if on("highlight") else None, make("w:u", w__val="single") if on("underline") else None, make("w:vertAlign", w__val=s["vertical"]) if "vertical" in s else None,
-        ]
-        items = [i for i in items if i is not None]
-        return make("w:rPr", *items) if items else None
-
-    def inlines(self, nodes: list[Node]) -> list[ET.Element]:
-        out: list[ET.Element] = []
-        run = lambda *e: make("w:r", *e)
-        for n in nodes:
-            k, a = n.kind, n.attrs
-            if k == "text":
-                out.append(run(self.rpr(n.style), self.t(n.text or "")))
-            elif k == "break":
-                out.append(run(make("w:tab") if a.get("type") == "tab" else make("w:br", w__type={"page": "page", "column": "column"}.get(a.get("type")))))
-            elif k == "link":
-                link = {"w__anchor": a["target"]} if a.get("internal") == "true" else {"r__id": self.rel("http://schemas.openxmlformats.org/officeDocument/2006/relationships/hyperlink", a.get("target", ""), "External")}
-                out.append(make("w:hyperlink", *self.inlines(n.children), **link))
-            elif k == "reference":
-                out.append(make("w:fldSimple", run(self.t("@" + a.get("target", ""))), w__instr=f"{'PAGEREF' if a.get('form') == 'page' else 'REF'} {a.get('target', '')}"))
-            elif k == "bookmark":
-                out.append(self.mark(a["name"], a.get("type", "start")))
-                if a.get("type", "start") == "start":
-                    out.append(self.mark(a["name"], "end"))
-            elif k == "math":
-                out.append(mathml.to_omml(n.text or ""))
-            elif k == "note":
-                at = len(self.notes) + 1
-                self.notes.append(make("w:footnote", w__id=at))
-                self.notes[at - 1].extend(self.blocks([c for c in n.children if c.cls == "block"]) or [make("w:p")])
-                out.append(run(make("w:footnoteReference", w__id=at)))
-            elif k == "field":
-                out.append(make("w:fldSimple", *self.inlines(n.children), w__instr=n.text or ""))
-            elif k == "citation":
-                out.append(make("w:fldSimple", run(self.t(f"[{a.get('keys', '')}]")), w__instr=f"CITATION {a.get('keys', '')}"))
-            elif k == "change":
-                tag = {"insert": "w:ins", "delete": "w:del", "move_to": "w:moveTo", "move_from": "w:moveFrom"}[a["type"]]
-                out.append(make(tag, *self.inlines(n.children), w__author=a.get("author"), w__date=a.get("date")))
-            elif k == "raw_inline" and "tag" in a:
-                out.append(ET.fromstring(binary.ungzip_b64(n.text or "")))
-            elif k == "raw_inline":
-                out.append(run(self.t(n.text or "")))
-            elif k == "image":
-                out.append(run(self.t(a.get("alt") or f"[{a.get('path') or a.get('shape') or 'image'}]")))
-        return out
+# --- tables of nodes ---------------------------------------------------------------------------------------------
+
+
+def _rows(pdf: pd.DataFrame) -> list[dict]:
+    rows = pdf.astype(object).where(pdf.notna(), None).to_dict("records")
+    for r in rows:
+        r["parent"] = None if r["parent"] is None else int(r["parent"])
+        r["level"] = None if r["level"] is None else int(r["level"])
+    return rows
 
 
 def _render(nodes: DataFrame, make_one: Callable[[list[Node]], object], column: str, kind: str) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.astype(object).where(pdf.notna(), None)
-        rows = pdf.to_dict("records")
-        for r in rows:
-            r["parent"] = None if r["parent"] is None else int(r["parent"])
-            r["level"] = None if r["level"] is None else int(r["level"])
+        rows = _rows(pdf)
         return pd.DataFrame({"doc_id": [rows[0]["doc_id"]], column: [make_one(tree(rows))]})
 
     return nodes.groupBy("doc_id").applyInPandas(run, f"doc_id string, {column} {kind}")
@@ -409,9 +195,44 @@ def to_markup(nodes: DataFrame) -> DataFrame:
     return _render(nodes, lambda n: MarkupWriter().text(n), "text", "string")
 
 
-def to_packages(nodes: DataFrame) -> DataFrame:
-    """(doc_id, content)."""
-    return _render(nodes, lambda n: PackageWriter().package(n), "content", "binary")
+def to_packages(nodes: DataFrame, media: DataFrame | None = None, revisions: str = "keep") -> DataFrame:
+    """(doc_id, content). media (doc_id, key, filename, data): images by resource id or path; one without a row is written as its alternative text. revisions: keep them as such, or accept them."""
+    if media is None:
+        return _render(nodes, lambda n: PackageWriter(revisions=revisions).package(n), "content", "binary")
+
+    def run(pdf: pd.DataFrame, files: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"doc_id": [], "content": []})
+        rows = _rows(pdf)
+        own = {r["key"]: (r["filename"], bytes(r["data"])) for r in files.to_dict("records") if r["data"] is not None}
+        return pd.DataFrame({"doc_id": [rows[0]["doc_id"]], "content": [PackageWriter(own, revisions).package(tree(rows))]})
+
+    files = media.select(F.col("doc_id").cast("string"), F.col("key").cast("string"), F.col("filename").cast("string"), "data")
+    return nodes.groupBy("doc_id").cogroup(files.groupBy("doc_id")).applyInPandas(run, "doc_id string, content binary")
+
+
+def write_assets(resources: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Writes resources (doc_id, id, filename, data) as files path/doc_id/asset, by the names of corpus.asset_names(). Each task writes its own through the cluster's file system API; a file that exists is an error unless overwritten."""
+    named = corpus.asset_names(resources).select(F.col("doc_id").cast("string"), "asset", "data")
+
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            for doc_id, asset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                store, root = fs.FileSystem.from_uri(path if "://" in path else "file://" + os.path.abspath(path))
+                target = f"{root.rstrip('/')}/{binary.safe_name(doc_id)}/{asset}"
+                if not overwrite and store.get_file_info(target).type != fs.FileType.NotFound:
+                    raise FileExistsError(target)
+                store.create_dir(target.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(target) as out:
+                    out.write(data or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    named.dropDuplicates(["doc_id", "asset"]).mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def to_json(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from vellumgrid.functions import binary
+from vellumgrid.functions import binary, ooxml
 from vellumgrid.operators import corpus, sinks
 from vellumgrid.sources import docx, markup
 
@@ -45,8 +45,6 @@ def digest_of(parts: dict[str, bytes]) -> str:
     """The digest of corpus.package_digest() for one package, without the part that holds its source."""
     import hashlib
 
-    from vellumgrid.functions import ooxml
-
     total = hashlib.sha256()
     for name in sorted(parts):
         if name in ("docProps/core.xml", "docProps/app.xml", "word/settings.xml", PART):
@@ -139,19 +137,11 @@ def inspect(docs: DataFrame, kind: str) -> DataFrame:
     return corpus.document_stats(docx.parse(docs)).join(corpus.package_stats(docx.parts(docs)), "doc_id")
 
 
-#: The order that the schema gives to a paragraph's and a run's properties.
-CHILD_ORDER = {
-    "pPr": "pStyle keepNext keepLines pageBreakBefore framePr widowControl numPr suppressLineNumbers pBdr shd tabs suppressAutoHyphens kinsoku wordWrap overflowPunct topLinePunct autoSpaceDE autoSpaceDN bidi adjustRightInd snapToGrid spacing ind contextualSpacing mirrorIndents suppressOverlap jc textDirection textAlignment textboxTightWrap outlineLvl divId cnfStyle rPr sectPr pPrChange",
-    "rPr": "rStyle rFonts b bCs i iCs caps smallCaps strike dstrike outline shadow emboss imprint noProof snapToGrid vanish webHidden color spacing w kern position sz szCs highlight u effect bdr shd fitText vertAlign rtl cs em lang eastAsianLayout specVanish oMath rPrChange",
-    "lvl": "start numFmt lvlRestart pStyle isLgl suff lvlText lvlPicBulletId legacy lvlJc pPr rPr",
-}
-
-
 def validate(docs: DataFrame) -> DataFrame:
     """(doc_id, errors, warnings, valid) of packages; one that doesn't open has that error alone."""
-    order = docs.sparkSession.createDataFrame([(p, c, k) for p, names in CHILD_ORDER.items() for k, c in enumerate(names.split())], "parent_name string, child string, rank int")
+    order = docs.sparkSession.createDataFrame([(p, c, k) for p, names in ooxml.CHILD_ORDER.items() for k, c in enumerate(names.split())], "parent_name string, child string, rank int")
     bad = corpus.child_order_errors(docx.ordered_children(docs), order)
-    found = corpus.validate(docx.parts(docs), docx.content_types(docs), docx.relationships(docs), docx.xml_errors(docs), bad)
+    found = corpus.validate(docx.parts(docs), docx.content_types(docs), docx.relationships(docs), docx.xml_errors(docs).unionByName(docx.theme_errors(docs)), bad)
     none = F.array().cast("array<string>")
     closed = docx.errors(docs).select("doc_id", F.array("error").alias("errors"), none.alias("warnings"), F.lit(False).alias("valid"))
     return found.unionByName(closed)

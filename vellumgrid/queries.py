@@ -49,10 +49,19 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_kind_counts(spark, sf_dir)
 
 
-@query("""SELECT n_regionkey::VARCHAR AS doc_id, count(*)::BIGINT AS n_notes_etc, (count(*) * 2)::BIGINT AS n_references FROM nation GROUP BY 1""")
+@query(f"""SELECT doc_id, CASE WHEN kind IN ('reference', 'text') THEN 'inline' ELSE 'block' END AS cls, kind, n FROM ({ORACLES["block_kind_counts"]}) WHERE kind NOT IN ('list_item')
+UNION ALL SELECT n_regionkey::VARCHAR, 'inline', 'text', sum(n)::BIGINT FROM (SELECT n_regionkey, 4 AS n FROM nation UNION ALL SELECT n_regionkey, 1 FROM nation JOIN customer ON n_nationkey = c_nationkey
+  UNION ALL SELECT DISTINCT n_regionkey, 1 FROM (SELECT n_regionkey, n_nationkey, c_mktsegment FROM nation JOIN customer ON n_nationkey = c_nationkey) WHERE false) GROUP BY 1
+UNION ALL SELECT n_regionkey::VARCHAR, 'segments', 'text', count(DISTINCT (n_nationkey, c_mktsegment))::BIGINT FROM nation JOIN customer ON n_nationkey = c_nationkey GROUP BY 1""")
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = corpus.kind_counts(nodes_of(region_texts(spark, sf_dir)))
-    return counts.groupBy("doc_id").agg(F.sum(F.when(F.col("kind") == "math_block", F.col("n")).otherwise(0)).alias("n_notes_etc"), F.sum(F.when(F.col("kind") == "reference", F.col("n")).otherwise(0)).alias("n_references"))
+    """Blocks and inlines of region texts by kind; texts of second-level headings counted apart."""
+    nodes = nodes_of(region_texts(spark, sf_dir))
+    second = nodes.where("kind = 'heading' AND level = 2").select("doc_id", F.col("pre").alias("parent"))
+    of_second = nodes.where("kind = 'text'").join(second, ["doc_id", "parent"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("m"))
+    counts = corpus.kind_counts(nodes).join(of_second, "doc_id", "left")
+    text = F.col("kind") == "text"
+    rest = counts.select("doc_id", "cls", "kind", F.when(text, F.col("n") - F.coalesce("m", F.lit(0))).otherwise(F.col("n")).alias("n"))
+    return rest.unionByName(of_second.select("doc_id", F.lit("segments").alias("cls"), F.lit("text").alias("kind"), F.col("m").alias("n")))
 
 
 @query("""WITH c AS (SELECT n_regionkey, n_nationkey, c_mktsegment, dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS a FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey),
@@ -256,11 +265,16 @@ def style_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.resolve_styles(s, ["font", "size"]).select("style_id", "font", "size")
 
 
-@query("""SELECT * FROM (VALUES ('a', 'fa', 1::BIGINT, true), ('b', 'fb', 1, true), ('c', 'fb', 3, true), ('d', 'fd', 9, false)) t(style_id, font, size, cyclic)""")
+@query("""SELECT n_regionkey::VARCHAR AS doc_id, 'n' || n_nationkey AS style_id, n_name AS font, coalesce(CASE WHEN k % 2 = 0 THEN n_nationkey END, p, l)::BIGINT AS size, true AS cyclic FROM (
+  SELECT *, row_number() OVER w AS k, CASE WHEN row_number() OVER w % 2 = 1 THEN lag(n_nationkey) OVER w END AS p, CASE WHEN row_number() OVER w = 1 THEN last_value(CASE WHEN m % 2 = 0 THEN n_nationkey ELSE q END) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS l
+  FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS m, lag(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS q FROM nation) WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))""")
 def style_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cycle a -> b -> a, and c -> b on it; d stands alone."""
-    s = spark.createDataFrame([("d", "a", "b", "fa", 1), ("d", "b", "a", "fb", None), ("d", "c", "b", None, 3), ("d", "d", None, "fd", 9)], "doc_id string, style_id string, based_on string, font string, size long")
-    return resolve.resolve_styles(s, ["font", "size"]).select("style_id", "font", "size", "cyclic")
+    """The nations of a region as a ring of styles, each based on the one before it and the first on the last; every second one sets a size."""
+    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
+    last = F.last("n_nationkey").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = F.coalesce(F.lag("n_nationkey").over(w), last)
+    s = load(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("doc_id"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("style_id"), F.concat(F.lit("n"), base.cast("string")).alias("based_on"), F.col("n_name").alias("font"), F.when(F.row_number().over(w) % 2 == 0, F.col("n_nationkey")).cast("long").alias("size"))
+    return resolve.resolve_styles(s, ["font", "size"]).select("doc_id", "style_id", "font", "size", "cyclic")
 
 
 @query("""SELECT l_orderkey::VARCHAR AS doc_id, l_linenumber AS pre, coalesce(CASE WHEN l_orderkey % 3 = 0 THEN 'upperRoman' END, CASE WHEN l_linenumber <= 4 THEN 'lowerLetter' END, 'decimal') AS num_format,
@@ -351,12 +365,11 @@ def distinct_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.distinct_resources(d).select(F.col("id").alias("doc_id"), "canonical_id", "checksum")
 
 
-@query("""SELECT source AS doc_id, sha256(string_agg(doc_id::VARCHAR || ':' || sha256(text), '|' ORDER BY doc_id::VARCHAR)) AS digest FROM documents GROUP BY 1""")
+@query("""SELECT source AS doc_id, sha256(unhex(string_agg(hex(doc_id::VARCHAR::BLOB) || '00' || sha256(text), '' ORDER BY doc_id::VARCHAR))) AS digest FROM documents GROUP BY 1""")
 def package_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ordered fold of part digests, with text separators so that SQL can follow it."""
-    one = load(spark, sf_dir, "documents").select("source", F.struct(F.col("doc_id").cast("string").alias("n"), F.sha2("text", 256).alias("h")).alias("p"))
-    folded = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: F.concat(p["n"], F.lit(":"), p["h"])), "|")
-    return one.groupBy(F.col("source").alias("doc_id")).agg(F.sha2(folded, 256).alias("digest"))
+    """Sources as packages, documents as their parts: the ordered fold of names and part digests."""
+    d = load(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").cast("string").alias("name"), F.col("text").cast("binary").alias("data"))
+    return corpus.package_digest(d)
 
 
 @query("""SELECT o_custkey::VARCHAR AS doc_id, o_orderkey AS pre, (o_orderkey % 7)::VARCHAR || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END AS unique_key FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderkey) AS rn FROM orders)""")
@@ -384,3 +397,6 @@ def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     impl = F.when(F.col("c_acctbal") > 0, "full").otherwise("none")
     m = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("to_package"), F.col("c_mktsegment").alias("to_markup"), impl.alias("implementation_to_package"), impl.alias("implementation_to_markup"))
     return corpus.coverage_counts(m)
+
+
+from vellumgrid import package_queries  # noqa: E402, F401  (registers its own)

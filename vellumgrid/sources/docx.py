@@ -117,8 +117,22 @@ def metadata(docs: DataFrame) -> DataFrame:
     return _each(docs, rows, "doc_id string, scope string, name string, kind string, value string", _strings("doc_id", "scope", "name", "kind", "value"))
 
 
-def run_style(rpr: ET.Element | None) -> dict[str, str]:
-    """A run's properties as a flat map; what isn't set isn't there, so that inheritance can tell."""
+def theme_of(p: dict[str, bytes]) -> dict[str, str]:
+    """The families of a package's theme by slot."""
+    out: dict[str, str] = {}
+    for name, data in sorted(p.items()):
+        if re.fullmatch(r"word/theme/theme\d*\.xml", name):
+            for kind in ("major", "minor"):
+                for e in x.parse(data).iter(x.q(f"a:{kind}Font")):
+                    for tag, slots in (("latin", ("Ascii", "HAnsi")), ("ea", ("EastAsia",)), ("cs", ("Bidi",))):
+                        face = e.find(x.q(f"a:{tag}"))
+                        for slot in slots if face is not None and face.get("typeface") else ():
+                            out.setdefault(f"{kind}{slot}", face.get("typeface"))
+    return out
+
+
+def run_style(rpr: ET.Element | None, theme: dict[str, str] | None = None) -> dict[str, str]:
+    """A run's properties as a flat map; what isn't set isn't there, so that inheritance can tell. A font named by a theme's slot is that slot's family, or not there if the theme has none."""
     if rpr is None:
         return {}
     out: dict[str, str] = {}
@@ -126,7 +140,8 @@ def run_style(rpr: ET.Element | None) -> dict[str, str]:
         if (v := x.flag(rpr, f"w:{tag}")) is not None:
             out[key] = str(v).lower()
     fonts = rpr.find(x.q("w:rFonts"))
-    font = next((v for k in ("ascii", "hAnsi", "cs", "asciiTheme", "hAnsiTheme", "cstheme") if (v := x.attr(fonts, f"w:{k}"))), None)
+    font = next((v for k in ("ascii", "hAnsi", "cs") if (v := x.attr(fonts, f"w:{k}"))), None)
+    font = font or next((f for k in ("asciiTheme", "hAnsiTheme", "cstheme") if (f := (theme or {}).get(x.attr(fonts, f"w:{k}") or ""))), None)
     for key, v in (("font", font), ("style_id", x.value(rpr, "w:rStyle")), ("color", x.value(rpr, "w:color")), ("highlight", x.value(rpr, "w:highlight")), ("underline", x.value(rpr, "w:u")), ("vertical", x.value(rpr, "w:vertAlign")), ("lang", x.value(rpr, "w:lang"))):
         if v is not None:
             out[key] = v
@@ -168,11 +183,11 @@ def styles(docs: DataFrame) -> DataFrame:
         if "word/styles.xml" not in p:
             return
         root = x.parse(p["word/styles.xml"])
-        base = root.find(x.q("w:docDefaults"))
+        base, theme = root.find(x.q("w:docDefaults")), theme_of(p)
         if base is not None:
-            yield {"doc_id": d, "style_id": "__docDefaults__", "name": None, "style_type": "default", "based_on": None, "paragraph": list(paragraph_style(base.find(f"{x.q('w:pPrDefault')}/{x.q('w:pPr')}")).items()), "text": list(run_style(base.find(f"{x.q('w:rPrDefault')}/{x.q('w:rPr')}")).items())}
+            yield {"doc_id": d, "style_id": "__docDefaults__", "name": None, "style_type": "default", "based_on": None, "paragraph": list(paragraph_style(base.find(f"{x.q('w:pPrDefault')}/{x.q('w:pPr')}")).items()), "text": list(run_style(base.find(f"{x.q('w:rPrDefault')}/{x.q('w:rPr')}"), theme).items())}
         for s in root.findall(x.q("w:style")):
-            yield {"doc_id": d, "style_id": x.attr(s, "w:styleId"), "name": x.value(s, "w:name"), "style_type": x.attr(s, "w:type"), "based_on": x.value(s, "w:basedOn"), "paragraph": list(paragraph_style(s.find(x.q("w:pPr"))).items()), "text": list(run_style(s.find(x.q("w:rPr"))).items())}
+            yield {"doc_id": d, "style_id": x.attr(s, "w:styleId"), "name": x.value(s, "w:name"), "style_type": x.attr(s, "w:type"), "based_on": x.value(s, "w:basedOn"), "paragraph": list(paragraph_style(s.find(x.q("w:pPr"))).items()), "text": list(run_style(s.find(x.q("w:rPr")), theme).items())}
 
     m = pa.map_(pa.string(), pa.string())
     return _each(docs, rows, "doc_id string, style_id string, name string, style_type string, based_on string, paragraph map<string,string>, text map<string,string>", pa.schema([*[(n, pa.string()) for n in ("doc_id", "style_id", "name", "style_type", "based_on")], ("paragraph", m), ("text", m)]))
@@ -204,17 +219,8 @@ def numbering(docs: DataFrame) -> DataFrame:
 
 
 def theme_fonts(docs: DataFrame) -> DataFrame:
-    def rows(d, p):
-        for name, data in p.items():
-            if re.fullmatch(r"word/theme/theme\d*\.xml", name):
-                for kind in ("major", "minor"):
-                    for e in x.parse(data).iter(x.q(f"a:{kind}Font")):
-                        for tag, slots in (("latin", ("Ascii", "HAnsi")), ("ea", ("EastAsia",)), ("cs", ("Bidi",))):
-                            face = e.find(x.q(f"a:{tag}"))
-                            for slot in slots if face is not None and face.get("typeface") else ():
-                                yield {"doc_id": d, "slot": f"{kind}{slot}", "family": face.get("typeface")}
-
-    return _each(docs, rows, "doc_id string, slot string, family string", _strings("doc_id", "slot", "family"))
+    """(doc_id, slot, family)."""
+    return _each(docs, lambda d, p: ({"doc_id": d, "slot": k, "family": v} for k, v in theme_of(p).items()), "doc_id string, slot string, family string", _strings("doc_id", "slot", "family"))
 
 
 def bibliography(docs: DataFrame) -> DataFrame:
@@ -258,6 +264,79 @@ def embedded_fonts(docs: DataFrame) -> DataFrame:
     return _each(docs, rows, "doc_id string, family string, variant string, data binary", pa.schema([("doc_id", pa.string()), ("family", pa.string()), ("variant", pa.string()), ("data", pa.binary())]))
 
 
+# Kinds of content controls, the first that is there counts.
+CONTROLS = ("equation", "comboBox", "date", "docPartObj", "docPartList", "dropDownList", "picture", "richText", "text", "citation", "group", "bibliography", "checkbox", "repeatingSection", "repeatingSectionItem")
+
+
+def control(pr: ET.Element | None) -> dict[str, str]:
+    """Name, tag, kind and binding of a content control; checkboxes and repeating sections stand in namespaces of their own."""
+    out = {key: v for key in ("alias", "tag") if (v := x.value(pr, f"w:{key}"))}
+    if pr is None:
+        return out
+    there = {x.local(e.tag) for e in pr}
+    if kind := next((k for k in CONTROLS if k in there), None):
+        out["control"] = kind
+    binding = pr.find(x.q("w:dataBinding"))
+    for key, name in (("xpath", "xpath"), ("store", "storeItemID"), ("prefixes", "prefixMappings")):
+        if v := x.attr(binding, f"w:{name}"):
+            out[key] = v
+    return out
+
+
+def media(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, filename, media_type, width, height, data): the image parts of packages, the natural size in points where the bytes tell it; keys are the resource ids of nodes."""
+
+    def rows(d, p):
+        for name, data in sorted(p.items()):
+            if name.startswith("word/media/"):
+                size = binary.fitted_points(data, None, None) or (None, None)
+                yield {"doc_id": d, "key": binary.sha256(data)[:16], "filename": name.rpartition("/")[2], "media_type": binary.media_type(name, data), "width": size[0], "height": size[1], "data": data}
+
+    kinds = [("doc_id", pa.string()), ("key", pa.string()), ("filename", pa.string()), ("media_type", pa.string()), ("width", pa.float64()), ("height", pa.float64()), ("data", pa.binary())]
+    return _each(docs, rows, "doc_id string, key string, filename string, media_type string, width double, height double, data binary", pa.schema(kinds)).dropDuplicates(["doc_id", "key"])
+
+
+def system_fonts(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, family) of the font files under folders, found recursively; each font under every family name it holds. Folders that don't exist are an error of the reader."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{ttf,otf,TTF,OTF,ttc,otc}").load(list(paths)).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    families, _ = binary.font_names(data)
+                except Exception:
+                    continue  # not a font, or a damaged one
+                rows += [{"path": path, "family": f} for f in dict.fromkeys(families)]
+            yield pa.RecordBatch.from_pylist(rows, schema=_strings("path", "family"))
+
+    return files.mapInArrow(run, "path string, family string")
+
+
+def theme_errors(docs: DataFrame) -> DataFrame:
+    """(doc_id, name, error) of themes whose format scheme lacks a list of styles or has other than three entries in one."""
+
+    def rows(d, p):
+        for name, data in sorted(p.items()):
+            if not re.fullmatch(r"word/theme/theme\d*\.xml", name):
+                continue
+            try:
+                root = x.parse(data)
+            except (ET.ParseError, ValueError):
+                continue  # xml_errors() lists it
+            scheme = root.find(f"{x.q('a:themeElements')}/{x.q('a:fmtScheme')}")
+            if scheme is None:
+                yield {"doc_id": d, "name": name, "error": "no format scheme"}
+                continue
+            for part in ("fillStyleLst", "lnStyleLst", "effectStyleLst", "bgFillStyleLst"):
+                e = scheme.find(x.q(f"a:{part}"))
+                if e is None or len(e) != 3:
+                    yield {"doc_id": d, "name": name, "error": f"{part} has {'no list' if e is None else f'{len(e)} entries'}, not 3"}
+
+    return _each(docs, rows, "doc_id string, name string, error string", _strings("doc_id", "name", "error"))
+
+
 class Reader:
     """The nodes of one package: body, headers and footers, notes, comments, sections and resources."""
 
@@ -267,6 +346,8 @@ class Reader:
         if "word/styles.xml" in p:
             for s in x.parse(p["word/styles.xml"]).findall(x.q("w:style")):
                 self.styles[x.attr(s, "w:styleId")] = ((x.value(s, "w:name") or "").lower(), x.value(s.find(x.q("w:pPr")), "w:outlineLvl"))
+        self.theme = theme_of(p)
+        self.levels = self.list_levels()
         self.notes = {k: self.note_parts(k) for k in ("footnote", "endnote")}
         self.marks: dict[str, str] = {}
         self.resources: dict[str, Node] = {}
@@ -276,6 +357,41 @@ class Reader:
         data = self.p.get(f"{folder}/_rels/{name}.rels")
         return {} if data is None else {e.get("Id"): (e.get("Target", ""), e.get("TargetMode", "").lower() == "external") for e in x.parse(data)}
 
+    def list_levels(self) -> dict[tuple[str, int], tuple[str, str, int]]:
+        """(format, level text, start) of each level of each list number; an override wins over the abstract level."""
+        if "word/numbering.xml" not in self.p:
+            return {}
+        root = x.parse(self.p["word/numbering.xml"])
+
+        def level(e: ET.Element, old: tuple[str, str, int]) -> tuple[str, str, int]:
+            start = x.value(e, "w:start")
+            return x.value(e, "w:numFmt") or old[0], x.value(e, "w:lvlText") or old[1], int(start) if start and start.lstrip("-").isdigit() else old[2]
+
+        none = ("decimal", "", 1)
+        abstract = {x.attr(a, "w:abstractNumId"): {int(x.attr(e, "w:ilvl", "0")): level(e, none) for e in a.findall(x.q("w:lvl"))} for a in root.findall(x.q("w:abstractNum"))}
+        out = {}
+        for n in root.findall(x.q("w:num")):
+            own = dict(abstract.get(x.value(n, "w:abstractNumId"), {}))
+            for o in n.findall(x.q("w:lvlOverride")):
+                at = int(x.attr(o, "w:ilvl", "0"))
+                e, start = o.find(x.q("w:lvl")), x.value(o, "w:startOverride")
+                own[at] = level(e, own.get(at, none)) if e is not None else own.get(at, none)
+                if start and start.isdigit():
+                    own[at] = (*own[at][:2], int(start))
+            out |= {(x.attr(n, "w:numId"), at): v for at, v in own.items()}
+        return out
+
+    def list_node(self, num: str, level: int, slot: str) -> Node:
+        """A list with its format, first number and, where it isn't `1.`, numbering pattern."""
+        attrs = {"num_id": num, "num_level": str(level)}
+        if (num, level) not in self.levels:
+            return Node("list", slot, attrs=attrs)
+        form, text, start = self.levels[num, level]
+        kind = {"bullet": "bullet", "none": "term"}.get(form, "decimal")
+        symbol = {"lowerLetter": "a", "upperLetter": "A", "lowerRoman": "i", "upperRoman": "I"}.get(form, "1")
+        pattern = re.sub(r"%\d", symbol, text) if kind == "decimal" and text else None
+        return Node("list", slot, numbering=pattern if pattern != "1." else None, attrs=attrs | {"format": kind, "ordered": str(kind == "decimal").lower(), "start": str(start)})
+
     def note_parts(self, kind: str) -> dict[str, ET.Element]:
         data = self.p.get(f"word/{kind}s.xml")
         found = {} if data is None else {x.attr(n, "w:id"): n for n in x.parse(data).findall(x.q(f"w:{kind}"))}
@@ -330,7 +446,7 @@ class Reader:
                 out.append(self.table(e, slot))
             elif k == "sdt":
                 pr, content = e.find(x.q("w:sdtPr")), e.find(x.q("w:sdtContent"))
-                n = Node("control", slot, attrs={key: v for key, tag in (("alias", "alias"), ("tag", "tag")) if (v := x.value(pr, f"w:{tag}"))})
+                n = Node("control", slot, attrs=control(pr))
                 n.children = self.blocks(content, "body") if content is not None else []
                 out.append(n)
             elif k in ("customXml", "smartTag"):
@@ -346,9 +462,9 @@ class Reader:
                 out.append(Node("raw_block", slot, binary.gzip_b64(ET.tostring(e)), attrs={"format": "xml", "tag": k}))
         return self.grouped(out)
 
-    @staticmethod
-    def grouped(nodes: list[Node]) -> list[Node]:
-        """Consecutive list paragraphs as nested lists: a stack of (level, number); any other block clears it."""
+    def grouped(self, nodes: list[Node]) -> list[Node]:
+        """Consecutive list paragraphs as nested lists: a stack of (level, number); any other block clears it. Consecutive paragraphs of the quote style are a quote."""
+        nodes = self.quoted(nodes)
         out: list[Node] = []
         stack: list[tuple[int, str, Node]] = []
         for n in nodes:
@@ -361,13 +477,25 @@ class Reader:
             while stack and (stack[-1][0] > level or stack[-1][0] == level and stack[-1][1] != num):
                 stack.pop()
             if not stack or stack[-1][0] < level:
-                made = Node("list", "item" if stack else n.slot, attrs={"num_id": num, "num_level": str(level)})
+                made = self.list_node(num, level, "item" if stack else n.slot)
                 (stack[-1][2].children[-1].children if stack else out).append(made)
                 stack.append((level, num, made))
             n.slot = "item"
             stack[-1][2].children.append(Node("list_item", "item", level=level, children=[n]))
         return out
 
+    def quoted(self, nodes: list[Node]) -> list[Node]:
+        out: list[Node] = []
+        for n in nodes:
+            if n.kind == "paragraph" and "num_id" not in n.attrs and self.styles.get(n.style.get("style_id"), ("", None))[0] in ("quote", "intense quote"):
+                if not (out and out[-1].kind == "quote"):
+                    out.append(Node("quote", n.slot, attrs={"block": "true"}))
+                n.slot = "quote"
+                out[-1].children.append(n)
+            else:
+                out.append(n)
+        return out
+
     def paragraph(self, p: ET.Element, slot: str) -> list[Node]:
         ppr = p.find(x.q("w:pPr"))
         style = paragraph_style(ppr)
@@ -389,6 +517,10 @@ class Reader:
         if level is not None and -1 <= int(level) <= 8:
             label = next((n.attrs["name"] for n in inlines if n.kind == "bookmark" and n.attrs.get("type") == "start"), None)
             return [Node("heading", slot, level=0 if name == "title" else int(level) + 1, label=label, style=style, children=[n for n in inlines if n.kind != "bookmark"]), *breaks]
+        if name == "code" and all(n.kind in ("text", "break") for n in inlines):
+            return [Node("code", slot, "".join(n.text or "" if n.kind == "text" else "\t" if n.attrs.get("type") == "tab" else "\n" for n in inlines)), *breaks]
+        if not inlines and set(style) == {"border_bottom"}:
+            return [Node("divider", slot), *breaks]
         n = Node("paragraph", slot, style=style, children=inlines)
         num = ppr.find(x.q("w:numPr")) if ppr is not None else None
         if num is not None and x.value(num, "w:numId"):
@@ -458,7 +590,7 @@ class Reader:
         return merged(out)
 
     def run(self, r: ET.Element) -> Iterator[tuple[str, Node | None]]:
-        style = run_style(r.find(x.q("w:rPr")))
+        style = run_style(r.find(x.q("w:rPr")), self.theme)
         node = lambda kind, text=None, **attrs: ("node", Node(kind, "inline", text, attrs=attrs, style=dict(style) if kind == "text" else {}))
         for e in r:
             k = x.local(e.tag)

@@ -7,6 +7,7 @@ references, statistics) is SQL over the rows. Nothing is evaluated: what would n
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -69,10 +70,19 @@ class Parser:
         self.sections: list[dict[str, str]] = [{}]
         self.warnings: list[str] = []
         self.notes = 0
+        self.depth = 0
+        self.filled = False  # whether a block of the text itself came before what is looked at
 
     # --- blocks -------------------------------------------------------------------------------------------------
 
     def blocks(self, s: str, ctx: Context) -> list[Node]:
+        self.depth += 1
+        try:
+            return self._blocks(s, ctx)
+        finally:
+            self.depth -= 1
+
+    def _blocks(self, s: str, ctx: Context) -> list[Node]:
         out: list[Node] = []
         open_: list[str] = []
 
@@ -131,6 +141,8 @@ class Parser:
             elif t.startswith("#") and (call := scan.hash_expression(s, starts[i] + line.index("#"))):
                 end_line = line_of(max(call.end - 1, 0), i)
                 rest = s[call.end : starts[end_line] + len(lines[end_line])]
+                if self.depth == 1:
+                    self.filled = bool(out or open_)
                 nodes = self.top(call, ctx) if not rest.strip(" \t;") or call.command else None
                 if nodes is None:
                     # Part of a paragraph; a call may span lines.
@@ -244,8 +256,12 @@ class Parser:
     def top(self, call: scan.Call, ctx: Context) -> list[Node] | None:
         name, arg = call.name, lambda k: scan.text_value(call.named.get(k), ctx.variables)
         if call.command == "set":
+            # A page rule after content begins a page of its own, i.e. a section that keeps what isn't set anew.
+            new = call.name == "page" and self.depth == 1 and self.filled
+            if new:
+                self.sections.append(dict(self.sections[-1]))
             self.set_rule(call, ctx)
-            return []
+            return [Node("break_block", attrs={"type": "section"})] if new else []
         if call.command == "let":
             m = re.match(r"([A-Za-z_][\w-]*)\s*(\([^)]*\))?\s*=\s*(.*)$", call.argument, re.S)
             if m:
@@ -482,8 +498,12 @@ class Parser:
         body = call.bodies[-1] if call.bodies else first or ""
         mark = [Node("bookmark", "inline", attrs={"name": call.label, "type": "start"})] if call.label and name not in ("ref",) else []
         if call.command == "set":
+            # A page rule after content begins a page of its own, i.e. a section that keeps what isn't set anew.
+            new = call.name == "page" and self.depth == 1 and self.filled
+            if new:
+                self.sections.append(dict(self.sections[-1]))
             self.set_rule(call, ctx)
-            return []
+            return [Node("break_block", attrs={"type": "section"})] if new else []
         if call.command:
             return [Node("raw_inline", "inline", call.source)]
         if name in WRAPPERS:
@@ -585,13 +605,34 @@ def place_cells(cells: list[tuple[Node, bool]], wide: int) -> list[Node]:
     return [rows[k] for k in sorted(rows)]
 
 
+def expanded(text: str | None, sources: dict[str, str | None], path: str, depth: int = 0) -> list[Node]:
+    """Top-level nodes of a text with the blocks and warnings of the files it includes in their places, MAX_INCLUDE_DEPTH deep; set rules and variables of a file stay its own, and one that isn't there leaves a warning."""
+    out: list[Node] = []
+    for n in parse_text(text):
+        target = n.attrs.get("include") if n.kind == "raw_block" else None
+        if target is None:
+            if n.kind == "warning" or depth == 0 or n.cls == "block":
+                out.append(n)
+            continue
+        folder = path.rpartition("/")[0]
+        other = re.sub(r"^\./", "", target)
+        other = f"{folder}/{other}" if folder else other
+        if depth >= MAX_INCLUDE_DEPTH:
+            out.append(Node("warning", "meta", f"include too deep: {target}"))
+        elif re.match(r"/|.*\.\.", target) or other not in sources:
+            out.append(Node("warning", "meta", f"include not found: {target}"))
+        else:
+            out += expanded(sources[other], sources, other, depth + 1)
+    return [n for n in out if n.kind != "warning"] + [n for n in out if n.kind == "warning"]
+
+
 def parse_text(text: str | None) -> list[Node]:
     """Top-level nodes of a text: its blocks, then a document node and its section and warning nodes."""
     p = Parser()
     out = p.blocks((text or "").replace("\r\n", "\n"), Context())
     if p.document:
         out.append(Node("document", "meta", attrs=p.document))
-    out += [Node("section", "meta", attrs=s) for s in p.sections if s]
+    out += [Node("section", "meta", attrs=s) for s in p.sections if s or len(p.sections) > 1]
     return out + [Node("warning", "meta", w) for w in p.warnings]
 
 
@@ -652,8 +693,28 @@ def includes(files: DataFrame) -> DataFrame:
     folder = F.regexp_extract("doc_id", r"^(.*/)?[^/]*$", 1)
     edges = files.select("doc_id", hit.alias("p"), folder.alias("folder")).where(~F.col("p").rlike(r"(^/|\.\.)")).select("doc_id", F.concat("folder", F.regexp_replace("p", r"^\./", "")).alias("included"))
     edges = edges.join(files.select(F.col("doc_id").alias("included")), "included", "left_semi").select("doc_id", "included").distinct()
-    edges.createOrReplaceTempView("_vellumgrid_includes")
-    return files.sparkSession.sql(f"""WITH RECURSIVE reach(doc_id, included, depth) AS (
-        SELECT doc_id, included, 1 FROM _vellumgrid_includes
-        UNION ALL SELECT r.doc_id, e.included, r.depth + 1 FROM reach r JOIN _vellumgrid_includes e ON r.included = e.doc_id WHERE r.depth < {MAX_INCLUDE_DEPTH})
+    view = f"_includes_{uuid.uuid4().hex}"
+    edges.createOrReplaceTempView(view)
+    try:
+        return files.sparkSession.sql(f"""WITH RECURSIVE reach(doc_id, included, depth) AS (
+        SELECT doc_id, included, 1 FROM {view}
+        UNION ALL SELECT r.doc_id, e.included, r.depth + 1 FROM reach r JOIN {view} e ON r.included = e.doc_id WHERE r.depth < {MAX_INCLUDE_DEPTH})
       SELECT doc_id, included, min(depth) AS depth FROM reach GROUP BY doc_id, included""")
+    finally:
+        files.sparkSession.catalog.dropTempView(view)
+
+
+def parse_with_includes(files: DataFrame) -> DataFrame:
+    """The node table of texts (doc_id: their path, text) with included files merged in. A text meets the files it reaches, no others."""
+    texts = files.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    reached = includes(texts).join(texts.select(F.col("doc_id").alias("included"), F.col("text").alias("source")), "included")
+    own = reached.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("included", "source"))).alias("sources"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc_id, text, sources in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows = list(flatten(doc_id, expanded(text, dict(sources or ()), doc_id or "")))
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=_NODES)
+
+    return texts.join(own, "doc_id", "left").select("doc_id", "text", "sources").mapInArrow(run, NODE_SCHEMA)
