@@ -350,8 +350,8 @@ def _group_scan(t: int, witnesses: int):
     def heads(a: dict) -> tuple[dict, pa.RecordBatch]:
         """The first row of each set of a group, and what is settled: the others, where it is their first key, and rows that say so."""
         settled = a["place"] == _GONE
-        # By rank within equal sets; the ranks of few rows matter.
-        order = np.lexsort((a["digest"], a["key"]))
+        # One sort brings equal sets together (a twin that another hash parts from its own stays, and is found as a candidate); the ranks of few rows matter.
+        order = np.argsort(_mix(a["key"].view(np.uint64) + a["digest"].view(np.uint64) * _BASE, 0x9FB21C651E98DF25))
         x, y = order[1:], order[:-1]
         twin = (a["key"][x] == a["key"][y]) & (a["digest"][x] == a["digest"][y])
         twins = np.zeros(len(order), bool)
@@ -368,11 +368,17 @@ def _group_scan(t: int, witnesses: int):
         return part(a, np.flatnonzero(~settled & ~same)), found(a, gone, GONE)
 
     def groups(a: dict) -> Iterator[pa.RecordBatch]:
-        _, size = np.unique(a["key"], return_counts=True)  # sorted by key
+        if not len(a["key"]):
+            return
+        starts = np.flatnonzero(np.append(True, a["key"][1:] != a["key"][:-1]))  # sorted by key
+        size = np.diff(np.append(starts, len(a["key"])))
         rows = np.flatnonzero(np.repeat(size > 1, size))
-        a = part(a, rows[np.lexsort((a["line"][rows], a["mark"][rows], a["doc"][rows], a["key"][rows]))])
         if not len(rows):
             return
+        order = rows[np.lexsort((a["doc"][rows], np.repeat(np.arange(len(size)), size)[rows]))]
+        if np.any((a["key"][order][1:] == a["key"][order][:-1]) & (a["doc"][order][1:] == a["doc"][order][:-1])):
+            order = rows[np.lexsort((a["line"][rows], a["mark"][rows], a["doc"][rows], a["key"][rows]))]
+        a = part(a, order)
         n = a["n"]
         place = np.where(a["place"] < 0, -2 - a["place"], a["place"])
         a |= {"rest": n - place, "fold": np.bitwise_xor.reduceat(a["bits"], a["at"]), "low": -(-t * n // 100), "high": 100 * n // t, "need": _need(np.arange(2 * int(n.max()) + 1), 0, t)}
