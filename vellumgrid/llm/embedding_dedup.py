@@ -88,69 +88,88 @@ def _directions(dim: int, lines: int = LINES) -> np.ndarray:
 
 
 def _unit(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Vectors of one dimension, none of them null, at unit length."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = np.array(column.to_pylist(), dtype=np.float64)
-    x /= np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return x / np.sqrt((x * x).sum(axis=1))[:, None]
 
 
-def tile_links(q: np.ndarray, r: np.ndarray, same: bool, cosine: float = COSINE, lines: int = LINES, window: float = WINDOW, count: int | None = None):
-    """For each query row of q: the rows of r (after itself, if both are the same block) that collide often enough and have the cosine."""
-    count = least_count(cosine, lines=lines, window=window) if count is None else count
-    d = _directions(q.shape[1], lines)
-    pq, pr = q @ d, r @ d
-    if len(r) <= 256:  # few rows: each window is compared as it stands
-        for i in range(len(q)):
-            often = np.flatnonzero((np.abs(pr - pq[i]) <= window).sum(axis=1) >= count)
-            often = often[often > i] if same else often
-            if len(often) and len(found := often[r[often] @ q[i] >= cosine]):
-                yield i, found
-        return
-    order = np.argsort(pr, axis=0, kind="stable")
+def colliding(q: np.ndarray, r: np.ndarray, same: bool, count: int, window: float = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a row of q and a row of r (a later one, if both are the same block) whose projections collide in `count` lines or more."""
+    lines = q.shape[1]
+    if max(len(q), len(r)) <= 256:  # few rows: windows are compared as they stand
+        if max(len(q), len(r)) <= 64:
+            often = (np.abs(q[:, None, :] - r[None, :, :]) <= window).sum(axis=2) >= count
+        else:
+            hits = np.zeros((len(q), len(r)), np.int16)
+            for k in range(lines):
+                hits += np.abs(q[:, k, None] - r[None, :, k]) <= window
+            often = hits >= count
+        return np.nonzero(np.triu(often, 1) if same else often)
+    order = np.argsort(r, axis=0, kind="stable")
     columns = [np.ascontiguousarray(order[:, k]) for k in range(lines)]
-    lo = np.stack([np.searchsorted(pr[columns[k], k], pq[:, k] - window, "left") for k in range(lines)], axis=1)
-    hi = np.stack([np.searchsorted(pr[columns[k], k], pq[:, k] + window, "right") for k in range(lines)], axis=1)
-    for i, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
+    lo = np.stack([np.searchsorted(r[columns[k], k], q[:, k] - window, "left") for k in range(lines)], axis=1)
+    hi = np.stack([np.searchsorted(r[columns[k], k], q[:, k] + window, "right") for k in range(lines)], axis=1)
+    i, j = [], []
+    for row, (a, b) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)):
         hits = np.concatenate([columns[k][x:y] for k, (x, y) in enumerate(zip(a, b, strict=True))])
         often = np.flatnonzero(np.bincount(hits, minlength=len(r)) >= count)
-        if same:
-            often = often[often > i]
-        if len(often) and len(found := often[r[often] @ q[i] >= cosine]):
-            yield i, found
-
-
-def _tile(x: np.ndarray, node: np.ndarray, copies: np.ndarray, block: np.ndarray, first: int, second: int, at: int, tables: Tables, cosine: float) -> tuple[list[int], list[int | None], list[int]]:
-    """Counts (node, null, links) and forest edges (node, node, 0) of one tile of table `at`."""
-    qi, ri = np.flatnonzero(block == first), np.flatnonzero(block == second)
-    cells = tables.cells(x @ _directions(x.shape[1]))
-    links: dict[int, int] = {}
-    parent: dict[int, int] = {}
-
-    def find(v: int) -> int:
-        while parent.setdefault(v, v) != v:
-            parent[v] = parent[parent[v]]
-            v = parent[v]
-        return v
-
-    forest = []
-    for i, found in tile_links(x[qi], x[ri], first == second, cosine):
-        a, others = int(qi[i]), ri[found]
-        others = others[~(cells[others, :at] == cells[a, :at]).any(axis=1)]
-        if not len(others):
-            continue
-        links[a] = links.get(a, 0) + int(copies[others].sum())
-        for b in others.tolist():
-            links[b] = links.get(b, 0) + int(copies[a])
-            u, v = find(a), find(b)
-            if u != v:
-                parent[max(u, v)] = min(u, v)
-                forest.append((int(node[a]), int(node[b])))
-    return [int(node[k]) for k in links] + [e[0] for e in forest], [None] * len(links) + [e[1] for e in forest], list(links.values()) + [0] * len(forest)
+        often = often[often > row] if same else often
+        i.append(np.full(len(often), row))
+        j.append(often)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _labels(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row of each row's component over the pairs."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[i], label[j])
+        before = label.copy()
+        np.minimum.at(label, i, least)
+        np.minimum.at(label, j, least)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _linked(x: np.ndarray, key: np.ndarray, ends: list[int], node: np.ndarray, copies: np.ndarray, block: np.ndarray, tables: Tables, cosine: float) -> pa.RecordBatch:
+    """Counts (node, null, links) and links (node, node, 0) that span the components of tiles; tiles end at `ends`, key holds (cell, first, second, t) of each row."""
+    p = x @ _directions(x.shape[1])
+    count, found, at = least_count(cosine), [], 0
+    for end in ends:
+        if end - at > 1:
+            _, first, second, t = key[at].tolist()
+            q, r = np.flatnonzero(block[at:end] == first) + at, np.flatnonzero(block[at:end] == second) + at
+            if len(q) and len(r):
+                i, j = colliding(p[q], p[r], first == second, count)
+                found.append((q[i], r[j], np.full(len(i), t)))
+        at = end
+    i, j, t = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3))
+    ok = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        a, b = i[part], j[part]
+        ok[part] = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
+        left = np.flatnonzero(ok[part] & (t[part] > 0))
+        if len(left):  # a pair counts in the first table whose cell it shares
+            rows, places = np.unique(np.concatenate((a[left], b[left])), return_inverse=True)
+            cells = tables.cells(p[rows])
+            same = cells[places[: len(left)]] == cells[places[len(left) :]]
+            ok[k + left[(same & (np.arange(tables.count) < t[part][left][:, None])).any(axis=1)]] = False
+    i, j = i[ok], j[ok]
+    links = np.bincount(np.concatenate((i, j)), weights=np.concatenate((copies[j], copies[i])), minlength=len(node)).astype(np.int64)
+    linked, label = np.flatnonzero(links), _labels(len(node), i, j)
+    spans = np.flatnonzero(label != np.arange(len(node)))
+    none = pa.nulls(len(linked), pa.int64())
+    out = [np.concatenate((node[linked], node[spans])), pa.concat_arrays([none, pa.array(node[label[spans]], pa.int64())]), np.concatenate((links[linked], np.zeros(len(spans), np.int64)))]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) if isinstance(c, np.ndarray) else c for c in out], ["a", "b", "links"])
 
 
 def _tiles(plans: dict[int, Tables], cosine: float):
-    """_tile() of each run of rows with one (cell, first, second, t), sorted by these. Runs go on from batch to batch."""
-    names = ["cell", "first", "second", "t", "dim"]
+    """_linked() of rows sorted by (dim, cell, first, second, t), a tile being a run of equal ones. Runs go on from batch to batch."""
+    names = ["cell", "first", "second", "t"]
 
     def run(batches):
         held: pa.Table | None = None
@@ -162,22 +181,17 @@ def _tiles(plans: dict[int, Tables], cosine: float):
                     continue
             if held is None or not held.num_rows:
                 continue
-            key = np.stack([held[k].to_numpy() for k in names], axis=1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            ends = [*cuts.tolist(), held.num_rows]
-            whole = ends if batch is None else ends[:-1]  # the last run may go on
-            node, copies, block = (held[k].to_numpy() for k in ("node", "copies", "block"))
-            a, b, c, at = [], [], [], 0
-            for end in whole:
-                cell, first, second, t, dim = key[at].tolist()
-                if end - at > 1:
-                    found = _tile(_unit(held["embedding"].slice(at, end - at)), node[at:end], copies[at:end], block[at:end], first, second, t, plans[dim], cosine)
-                    for out, part in zip((a, b, c), found, strict=True):
-                        out += part
-                at = end
-            held = held.slice(at)
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, c)], ["a", "b", "links"])
+            key = np.stack([held[k].to_numpy() for k in ["dim", *names]], axis=1)
+            ends = [*(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), held.num_rows]
+            if batch is not None:
+                ends.pop()  # the last run may go on
+            dims, starts = np.unique(key[: ends[-1] if ends else 0, 0], return_index=True)
+            for dim, a, b in zip(dims.tolist(), starts.tolist(), [*starts[1:].tolist(), ends[-1] if ends else 0], strict=True):
+                part = held.slice(a, b - a)
+                own = [e - a for e in ends if a < e <= b]
+                node, copies, block = (part[k].to_numpy() for k in ("node", "copies", "block"))
+                yield _linked(_unit(part["embedding"]), key[a:b, 1:], own, node, copies, block, plans[dim], cosine)
+            held = held.slice(ends[-1] if ends else 0)
 
     return run
 
@@ -190,7 +204,7 @@ def _cells(plans: dict[int, Tables]):
             dims = batch.column(2).to_numpy()
             for dim in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == dim)
-                cells = plans[dim].cells(_unit(batch.column(1).take(pa.array(rows))) @ _directions(dim))
+                cells = plans[dim].cells(_unit(batch.column(1).take(pa.array(rows))) @ _directions(int(dim)))
                 n = cells.shape[1]
                 node = batch.column(0).to_numpy()[rows]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, n)), pa.array(np.full(len(node) * n, dim, np.int32)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(node))), pa.array(cells.ravel().view(np.int64))], ["node", "dim", "t", "cell"])
@@ -217,7 +231,7 @@ def classes(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, fill
     met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("node", "dim", "t", "cell", "block", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"))
     dealt = met.join(nodes.select("node", "embedding", "copies"), "node").select("cell", "first", "second", "t", "dim", "node", "copies", "block", "embedding")
-    order = ["cell", "first", "second", "t", "dim"]
+    order = ["dim", "cell", "first", "second", "t"]
     found = materialise(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiles(plans, cosine), "a long, b long, links long"))
     comp = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))

@@ -472,9 +472,11 @@ def _tokens(line: Column) -> Column:
 def _token_table(texts: DataFrame, places: DataFrame) -> DataFrame:
     """(place, tokens: the words' hashes) of these places, written. Only texts that hold one of them are cut to lines."""
     asked = places.groupBy("doc", "mark").agg(F.collect_set("line").alias("lines"))
-    lines = texts.join(asked, ["doc", "mark"]).select("doc", "mark", F.split("text", "\n", -1).alias("all"), F.explode("lines").alias("line"))
+    # Texts are cut before they are dealt out: later an expression over them would cut them once for each line.
+    cut = texts.select("doc", "mark", F.split("text", "\n", -1).alias("all"))
+    lines = cut.join(asked, ["doc", "mark"]).select("doc", "mark", F.explode(F.transform("lines", lambda k: F.struct(k.alias("line"), F.get("all", k).alias("t")))).alias("x"))
     # Words are cut and hashed once for each line, not for each pair, and pairs carry eight bytes a word.
-    hashed = lines.select(*_PLACE, F.transform(_tokens(F.get("all", "line")), lambda w: F.xxhash64(w)).alias("tokens"))
+    hashed = lines.select("doc", "mark", F.col("x.line").alias("line"), F.transform(_tokens(F.col("x.t")), lambda w: F.xxhash64(w)).alias("tokens"))
     # Rows that are equal give equal lines; the join's partitions hold them together.
     return materialise(hashed.groupBy(*_PLACE).agg(F.first("tokens").alias("tokens")).select(F.struct(*_PLACE).alias("place"), "tokens"))
 
