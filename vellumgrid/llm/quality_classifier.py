@@ -114,16 +114,27 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(cuts, w.reshape(cuts.shape[0], -1), c)
 
 
-def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """The share of positives among unlabelled rows, from positives and unlabelled rows alone: a model that tells the two apart is fitted on one half of each; on the other half the prior is the least ratio, over all thresholds, of the unlabelled to the positive share above it, each with its margin of error."""
-    p, u = positive[::2], unlabelled[::2]
-    model = fit(p, u, 0.5)
-    sp, su = np.sort(model.score(positive[1::2])), np.sort(model.score(unlabelled[1::2]))
-    at = np.unique(sp)
-    above_p, above_u = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
-    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(sp)) + 1 / np.sqrt(len(su)))
-    best = np.argmin((above_u + error) / np.maximum(above_p, 1e-9))
-    return float(min(max(above_u[best] / above_p[best], 0.02), 0.98))
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 3) -> float:
+    """The share of positives among unlabelled rows, from positives and unlabelled rows alone.
+
+    A model is fitted on one half of each. On the other half the prior is the ratio of the unlabelled to the positive
+    share above a threshold, at the threshold where it is least, both taken with their margins of error. Both halves
+    take their turns, and the model of the next round has the prior of the last, beginning with a half: the better the
+    model, the fewer negatives stand above its thresholds.
+    """
+    prior = 0.5
+    error = np.sqrt(np.log(40) / 2) * (1 / np.sqrt(len(positive) // 2) + 1 / np.sqrt(len(unlabelled) // 2))
+    for _ in range(rounds):
+        found = []
+        for k in (0, 1):
+            model = fit(positive[k::2], unlabelled[k::2], prior)
+            sp, su = np.sort(model.score(positive[1 - k :: 2])), np.sort(model.score(unlabelled[1 - k :: 2]))
+            at = np.unique(sp)
+            above_p, above_u = 1 - np.searchsorted(sp, at) / len(sp), 1 - np.searchsorted(su, at) / len(su)
+            best = np.argmin((above_u + error) / np.maximum(above_p, 1e-9))
+            found.append(min(max(above_u[best] / above_p[best], 0.02), 0.98))
+        prior = float(np.mean(found))
+    return prior
 
 
 def held_out(doc_id: Column) -> Column:
