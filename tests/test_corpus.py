@@ -60,6 +60,17 @@ def test_long_style_chain(spark):
     assert out["a"].font == "Loop" and out["a"].cyclic
 
 
+def test_style_chains_of_any_number(spark):
+    key = "spark.sql.cteRecursionRowLimit"
+    rows = [("d", f"s{k}", "base", None) for k in range(40)] + [("d", "base", None, "Far"), ("e", "solo", None, "Own")]
+    spark.conf.set(key, "50")  # a stand-in for the million rows by default: 82 rows of chains
+    try:
+        out = resolve.resolve_styles(spark.createDataFrame(rows, "doc_id string, style_id string, based_on string, font string"), ["font"]).collect()
+    finally:
+        spark.conf.unset(key)
+    assert sorted((r.style_id, r.font) for r in out) == sorted([*((f"s{k}", "Far") for k in range(40)), ("base", "Far"), ("solo", "Own")])
+
+
 def test_convert_inspect_validate(spark):
     files = spark.createDataFrame([("d", TEXT), ("e", "= Solo")], "doc_id string, text string")
     packages = convert.texts_to_packages(files, embed=False).cache()

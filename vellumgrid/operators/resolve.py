@@ -69,7 +69,7 @@ def unresolved_references(nodes: DataFrame) -> DataFrame:
 
 
 def style_chain(styles: DataFrame) -> DataFrame:
-    """(doc_id, style_id, ancestor, depth, cyclic): each style, its based-on chain, nearest first, and the document defaults last. A base that is missing or the style itself leads to the defaults; a cycle ends the chain where it closes, and nothing else cuts it."""
+    """(doc_id, style_id, ancestor, depth, cyclic): each style, its based-on chain, nearest first, and the document defaults last. A base that is missing or the style itself leads to the defaults; a cycle ends the chain where it closes, and nothing else cuts it, nor does a limit on recursive rows."""
     view = f"_styles_{uuid.uuid4().hex}"
     styles.select("doc_id", "style_id", "based_on").createOrReplaceTempView(view)
     chain = styles.sparkSession.sql(f"""WITH RECURSIVE c(doc_id, style_id, ancestor, next, depth, path) MAX RECURSION LEVEL 1000000 AS (
@@ -77,7 +77,7 @@ def style_chain(styles: DataFrame) -> DataFrame:
         UNION ALL SELECT c.doc_id, c.style_id, s.style_id, s.based_on, c.depth + 1, concat(c.path, array(s.style_id))
           FROM c JOIN {view} s ON c.doc_id = s.doc_id AND c.next = s.style_id
           WHERE NOT array_contains(c.path, s.style_id))
-      SELECT doc_id, style_id, ancestor, depth, next IS NOT NULL AND array_contains(path, next) AS cyclic FROM c""")
+      SELECT doc_id, style_id, ancestor, depth, next IS NOT NULL AND array_contains(path, next) AS cyclic FROM c LIMIT ALL""")
     styles.sparkSession.catalog.dropTempView(view)
     ends = chain.groupBy("doc_id", "style_id").agg(F.max("depth").alias("last"), F.bool_or("cyclic").alias("loop"))
     base = ends.where("NOT loop AND style_id <> '__docDefaults__'").join(styles.where("style_id = '__docDefaults__'").select("doc_id").distinct(), "doc_id").select("doc_id", "style_id", F.lit("__docDefaults__").alias("ancestor"), (F.col("last") + 1).alias("depth"), F.lit(False).alias("cyclic"))
