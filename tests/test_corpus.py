@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vellumgrid.functions import scalar
-from vellumgrid.operators import corpus, resolve
+from vellumgrid.operators import corpus, resolve, sinks
 from vellumgrid.plans import convert
 from vellumgrid.sources import docx, markup
 from vellumgrid.streaming import markup_nodes
@@ -71,6 +71,16 @@ def test_style_chains_of_any_number(spark):
     assert sorted((r.style_id, r.font) for r in out) == sorted([*((f"s{k}", "Far") for k in range(40)), ("base", "Far"), ("solo", "Own")])
 
 
+def test_exact_round_trip_makes_each_package_once(spark):
+    d = spark.createDataFrame([(str(k), f"plain {k}") for k in range(9)], "doc_id string, text string")
+    packages = sinks.to_packages(markup.parse(d))
+    assert packages.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")), "small rows are not put into one task"
+    back = convert.packages_to_texts(convert.texts_to_packages(d), "exact")
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("probe(content") == 1, "neither a filter nor a parser asks again"
+    assert sorted(map(tuple, back.collect())) == [(str(k), f"plain {k}") for k in range(9)]
+
+
 def test_convert_inspect_validate(spark):
     files = spark.createDataFrame([("d", TEXT), ("e", "= Solo")], "doc_id string, text string")
     packages = convert.texts_to_packages(files, embed=False).cache()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import xml.etree.ElementTree as ET
+from functools import lru_cache
 from xml.parsers import expat
 
 # Namespaces of the transitional form.
@@ -124,7 +125,11 @@ def value(parent: ET.Element | None, name: str, key: str = "w:val") -> str | Non
 
 
 def canonical(data: bytes) -> bytes:
-    """Canonical form of a part, or the part itself if it isn't XML."""
+    """Canonical form of a part, or the part itself if it isn't XML. Small parts are remembered: most are the same in every package of a corpus."""
+    return _remembered(data) if len(data) <= 1 << 15 else _canonical(data)
+
+
+def _canonical(data: bytes) -> bytes:
     try:
         parse(data)
         out = io.StringIO()
@@ -134,6 +139,9 @@ def canonical(data: bytes) -> bytes:
         return data
 
 
+_remembered = lru_cache(128)(_canonical)
+
+
 def dump(root: ET.Element) -> bytes:
     return b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n' + ET.tostring(root, encoding="utf-8")
 

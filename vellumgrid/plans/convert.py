@@ -122,7 +122,10 @@ def packages_to_texts(docs: DataFrame, mode: str = "auto", embed: bool = True, r
     def headed(text: pa.Array, content: pa.Array) -> pa.Array:
         return pa.array([embed_package(t, c) for t, c in zip(text.to_pylist(), content.to_pylist(), strict=True)], pa.string())
 
-    probed = docs.withColumn("text", probe(F.col("content")))
+    # Not called again for the filters over it.
+    probed = docs.withColumn("text", probe.asNondeterministic()(F.col("content")))
+    if mode == "exact":  # every package has its source or is an error: none is parsed, nor made a second time for that
+        return probed.where("text IS NOT NULL").select(F.col("doc_id").cast("string"), "text")
     rest = probed.where("text IS NULL").select(F.col("doc_id").cast("string"), "content")
     made = sinks.to_markup(docx.parse(rest, revisions, comments))
     if embed and mode in ("auto", "semantic"):
