@@ -786,6 +786,15 @@ def test_scores_are_log_probabilities(pieces):
     assert segmentation.log_probabilities({"a": (0, -1.5), "b": (1, -2.0)}) == {"a": (0, -1.5), "b": (1, -2.0)}, "a unigram model's stay"
 
 
+def test_scores_are_sums_from_the_end(pieces):
+    for text in ("the lines of many words \x07 and 漢字 🦄\n\nmore of them, and more " * 5, "hello", ""):
+        (found,) = segmentation.segment([text], pieces)
+        total = 0.0
+        for x in pieces.values[list(found[0][1][0][2])][::-1].tolist():
+            total += x
+        assert found[0][0] == total and [s for s, _ in found[1:]] == sorted([s for s, _ in found[1:]], reverse=True)
+
+
 def test_words_mostly_as_the_model_encodes_them(spark, pieces):
     import sentencepiece
 

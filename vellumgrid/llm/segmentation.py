@@ -29,7 +29,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate, chain, count
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -50,7 +50,9 @@ _CHUNK, _SLOTS = 4096, 1 << 18
 SHIFT = 2.7
 #: Characters of text segmented together.
 CHUNK = 2_000_000
-#: How much less than the lowest regular piece a character of byte pieces scores.
+#: Units in a worker's memory of searches.
+SEARCHED = 20_000
+#: How much less than the lowest piece a character of byte pieces scores.
 PENALTY = 10.0
 #: What this worker has learnt, by model.
 _WORKER: dict = {}
@@ -68,19 +70,26 @@ class Pieces:
     lowest: float = 0.0
     cache: dict = field(default_factory=dict, repr=False)
     old: dict = field(default_factory=dict, repr=False)
+    searched: dict = field(default_factory=dict, repr=False)
     lookup: object = field(default=None, repr=False)
+    values: np.ndarray = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.scores), default=1)
-        regular = [s for p, (_, s) in self.scores.items() if p.strip(SPACE)]
-        self.lowest = min(regular, default=0.0) - PENALTY
+        self.lowest = min((s for _, s in self.scores.values()), default=0.0) - PENALTY
+        # The score of each id: that of a character of byte pieces is with its first byte.
+        self.values = np.zeros(1 + max((i for i, _ in self.scores.values()), default=0))
+        self.values = np.append(self.values, np.zeros(max(0, max(self.bytes_at) + 1 - len(self.values))))
+        self.values[self.bytes_at] = [0.0 if 0x80 <= b < 0xC0 else self.lowest for b in range(256)]
+        for i, score in self.scores.values():
+            self.values[i] = score
         for p in self.scores:
             inner = p.lstrip(SPACE)
             if SPACE in inner or "\n" in p and len(p) > 1:
                 raise ValueError(f"piece {p!r} crosses a unit's bound")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"cache": {}, "old": {}, "lookup": None}
+        return self.__dict__ | {"cache": {}, "old": {}, "searched": {}, "lookup": None}
 
 
 def read_model(path: str = MODEL) -> Pieces:
@@ -154,29 +163,32 @@ def search(unit: str, v: Pieces, n_best: int = N_BEST) -> list[tuple[float, tupl
 
 @dataclass
 class _Lookup:
-    """The pieces by a rolling hash of their code points, in an open-addressed table."""
+    """The pieces and what they begin with (id -1) by a rolling hash of their code points, in an open-addressed table."""
 
     keys: np.ndarray
     ids: np.ndarray
     scores: np.ndarray
 
-    @staticmethod
-    def slot(h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - len(self.keys).bit_length())).astype(np.int64)
 
     @classmethod
     def of(cls, v: Pieces) -> _Lookup:
-        keys, ids, scores = np.zeros(_SLOTS, np.uint64), np.full(_SLOTS, -1, np.int64), np.full(_SLOTS, -np.inf)
+        known: dict[int, tuple[str, int, float]] = {}
         for piece, (i, score) in v.scores.items():
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = h * np.uint64(0x100000001B3) + np.uint64(ord(c) + 1)
-            at = int(cls.slot(h)[0])
-            while keys[at]:
-                if keys[at] == h[0]:
+            h = 0
+            for k, c in enumerate(piece, 1):
+                h = (h * 0x100000001B3 + ord(c) + 1) & (1 << 64) - 1
+                if known.setdefault(h, (piece[:k], -1, -np.inf))[0] != piece[:k]:
                     raise ValueError("two pieces share a hash")
-                at = (at + 1) % _SLOTS
-            keys[at], ids[at], scores[at] = h[0], i, score
+            known[h] = (piece, i, score)
+        size = max(_SLOTS, 1 << (4 * len(known)).bit_length())
+        keys, ids, scores = np.zeros(size, np.uint64), np.full(size, -1, np.int64), np.full(size, -np.inf)
+        places = cls(keys, ids, scores).slot(np.fromiter(known, np.uint64, len(known))).tolist()
+        for (h, (_, i, score)), at in zip(known.items(), places, strict=True):
+            while keys[at]:
+                at = (at + 1) % size
+            keys[at], ids[at], scores[at] = h, i, score
         return cls(keys, ids, scores)
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -184,71 +196,76 @@ class _Lookup:
         at = self.slot(h)
         open_ = np.flatnonzero((self.keys[at] != h) & (self.keys[at] != 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) % _SLOTS
+            at[open_] = (at[open_] + 1) % len(self.keys)
             found = self.keys[at[open_]]
             open_ = open_[(found != h[open_]) & (found != 0)]
         return at
 
 
-def _viterbi(units: list[str], v: Pieces, lookup: _Lookup) -> list[tuple[float, float, tuple[int, ...]] | None]:
-    """(loss of the second best, best score, best ids) of units of one length; None where a character needs byte pieces."""
+def _viterbi(units: list[str], v: Pieces, lookup: _Lookup) -> list[tuple[float, bytes] | None]:
+    """(loss of the second best, best ids as 32-bit numbers) of units of one length; None where a character needs byte pieces."""
     m, n = len(units), len(units[0])
     chars = np.frombuffer("".join(units).encode("utf-32-le", "replace"), np.uint32).reshape(m, n).astype(np.uint64) + np.uint64(1)
-    edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    # An edge's rows, their scores and slots: only units that a piece fits, and no longer ends of what no piece begins with.
+    edges: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    sound = np.ones(m, bool)
     for i in range(n):
-        h = np.zeros(m, np.uint64)
+        h, rows = np.zeros(m, np.uint64), np.arange(m)
         for j in range(i + 1, min(n, i + v.longest) + 1):
-            h = h * np.uint64(0x100000001B3) + chars[:, j - 1]
+            h = h * np.uint64(0x100000001B3) + chars[rows, j - 1]
             at = lookup.find(h)
-            edges[i, j] = (np.where(lookup.keys[at] == h, lookup.scores[at], -np.inf), at)
-    sound = np.ones(m, bool)
-    for i in range(n):
-        sound &= edges[i, i + 1][0] > -np.inf
+            fits = lookup.keys[at] == h
+            h, rows, at = h[fits], rows[fits], at[fits]
+            score = lookup.scores[at]
+            own = score > -np.inf
+            if j == i + 1:
+                single = np.zeros(m, bool)
+                single[rows[own]] = True
+                sound &= single
+            if own.any():
+                edges[i, j] = rows[own], score[own], at[own]
+            if not len(rows):
+                break
     ahead, prev = np.full((n + 1, m), -np.inf), np.zeros((n + 1, m), np.int64)
     ahead[0] = 0
-    for j in range(1, n + 1):
-        for i in range(max(0, j - v.longest), j):
-            s = ahead[i] + edges[i, j][0]
-            better = s > ahead[j]
-            ahead[j][better], prev[j][better] = s[better], i
+    for (i, j), (rows, score, _) in sorted(edges.items(), key=lambda e: e[0][::-1]):
+        s = ahead[i][rows] + score
+        better = s > ahead[j][rows]
+        ahead[j][rows[better]], prev[j][rows[better]] = s[better], i
     back = np.full((n + 1, m), -np.inf)
     back[n] = 0
-    for i in range(n - 1, -1, -1):
-        for j in range(i + 1, min(n, i + v.longest) + 1):
-            np.maximum(back[i], edges[i, j][0] + back[j], out=back[i])
+    for (i, j), (rows, score, _) in sorted(edges.items(), reverse=True, key=lambda e: e[0]):
+        back[i][rows] = np.maximum(back[i][rows], score + back[j][rows])
     used = np.zeros((n + 1, m), bool)  # positions on the best path
     at, rows = np.full(m, n), np.arange(m)
     while at.any():
         used[at, rows] = True
         at = np.where(at > 0, prev[at, rows], 0)
     used[0] = False
-    second = np.full(m, -np.inf)
-    for (i, j), (score, _) in edges.items():
-        on = used[j] & (prev[j] == i)
-        np.maximum(second, np.where(on, -np.inf, ahead[i] + score + back[j]), out=second)
-    piece = np.zeros((n + 1, m), np.int64)
-    for (i, j), (_, at) in edges.items():
-        on = used[j] & (prev[j] == i)
-        piece[j][on] = lookup.ids[at[on]]
+    second, piece = np.full(m, -np.inf), np.zeros((n + 1, m), np.int64)
+    for (i, j), (rows, score, at) in edges.items():
+        on = used[j][rows] & (prev[j][rows] == i)
+        second[rows] = np.maximum(second[rows], np.where(on, -np.inf, ahead[i][rows] + score + back[j][rows]))
+        piece[j][rows[on]] = lookup.ids[at[on]]
     # Row by row, the pieces that end at the positions used.
-    flat, stops = piece.T[used.T].tolist(), np.cumsum(used.sum(axis=0)).tolist()
+    flat, stops = piece.T[used.T].astype(np.int32).tobytes(), np.cumsum(4 * used.sum(axis=0)).tolist()
     ids = [flat[a:b] for a, b in zip([0, *stops], stops, strict=False)]
     with np.errstate(invalid="ignore"):
         loss = (ahead[n] - second).tolist()
-    return [(d, b, tuple(x)) if ok else None for d, b, x, ok in zip(loss, ahead[n].tolist(), ids, sound.tolist(), strict=True)]
+    return [(d, x) if ok else None for d, x, ok in zip(loss, ids, sound.tolist(), strict=True)]
 
 
-def _slow(unit: str, v: Pieces) -> tuple[float, float, tuple[int, ...]]:
+def _slow(unit: str, v: Pieces) -> tuple[float, bytes]:
     s = search(unit, v, 2)
-    return (s[0][0] - s[1][0] if len(s) > 1 else float("inf"), *s[0])
+    return (s[0][0] - s[1][0] if len(s) > 1 else float("inf"), np.array(s[0][1], np.int32).tobytes())
 
 
 def learn(units: set[str], v: Pieces) -> None:
     """Puts what n_best() needs of the units into the cache."""
     if len(v.cache) > CACHE_UNITS:  # two generations: what is still in use moves on to the new one
         v.old, v.cache = v.cache, {}
-    new = units - v.cache.keys()
-    known = new & v.old.keys()
+    new = {u for u in units if u not in v.cache}
+    known = {u for u in new if u in v.old}
     v.cache.update((u, v.old[u]) for u in known)
     new -= known
     if v.lookup is None:
@@ -264,27 +281,51 @@ def learn(units: set[str], v: Pieces) -> None:
                 v.cache[u] = f or _slow(u, v)
 
 
+def _searched(unit: str, v: Pieces, n: int) -> list[tuple[float, tuple[int, ...]]]:
+    found = v.searched.get((unit, n))
+    if found is None:
+        if len(v.searched) >= SEARCHED:
+            v.searched.clear()
+        found = search(unit, v, n)
+        if len(unit) <= CACHE_LENGTH:
+            v.searched[unit, n] = found
+    return found
+
+
+def _total(values: np.ndarray) -> float:
+    """The sum of a segmentation's scores from its last piece on, one by one: the same wherever the units' bounds lie."""
+    return float(np.cumsum(values[::-1])[-1]) if len(values) else 0.0
+
+
 def n_best(units: list[str], v: Pieces, n: int = N_BEST) -> list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]:
     """The n best segmentations of a chain of learnt units as (score, edits): the best comes first and whole, (score, [(0, 0, ids)]); an edit (at, length, ids) of another replaces pieces of the best one."""
     cells = list(map(v.cache.__getitem__, units))
     # Only the n - 1 units whose second best costs least can take part in the n best.
-    least = [(d, k) for d, k in heapq.nsmallest(n - 1, zip(map(itemgetter(0), cells), count())) if d < float("inf")]
-    full = {k: search(units[k], v, n) for _, k in least}
+    loss = np.fromiter(map(itemgetter(0), cells), float, len(cells))
+    few = np.flatnonzero(loss <= np.partition(loss, n - 2)[n - 2]) if 1 < n <= len(loss) else np.arange(len(loss))
+    least = [(float(loss[k]), k) for k in few[np.argsort(loss[few], kind="stable")][: n - 1].tolist() if loss[k] < np.inf]
+    full = {k: _searched(units[k], v, n) for _, k in least}
     for k, s in full.items():
-        cells[k] = (cells[k][0], *s[0])  # of equal paths, the search's
-    first = sum(map(itemgetter(1), cells))
-    out = [(first, [(0, 0, tuple(chain.from_iterable(map(itemgetter(2), cells))))])]
+        cells[k] = (cells[k][0], np.array(s[0][1], np.int32).tobytes())  # of equal paths, the search's
+    paths = list(map(itemgetter(1), cells))
+    ids = np.frombuffer(b"".join(paths), np.int32)
+    value = v.values[ids]
+    out = [(_total(value), [(0, 0, tuple(ids.tolist()))])]
     if not least:
         return out
-    before = list(accumulate(map(len, map(itemgetter(2), cells)), initial=0))
-    starts = {k: before[k] for k in full}
+    ends = np.cumsum(np.fromiter(map(len, paths), np.int64, len(paths))) // 4
+    starts = {k: int(ends[k]) - len(s[0][1]) for k, s in full.items()}
     losses = [[s[0][0] - x for x, _ in s] for s in (full[k] for _, k in least)]
     # Best-first over choices (unit's rank in `least`, alternative): each choice is reached once, by raising, extending or moving its last part.
     queue = [(losses[0][1], ((0, 1),))]
     while queue and len(out) < n:
         loss, choice = heapq.heappop(queue)
-        edits = [(starts[k], len(cells[k][2]), full[k][a][1]) for k, a in ((least[u][1], a) for u, a in choice)]
-        out.append((first - loss, edits))
+        edits = [(starts[k], len(full[k][0][1]), full[k][a][1]) for k, a in ((least[u][1], a) for u, a in choice)]
+        own, done = [], 0
+        for at, length, new in sorted(edits):
+            own += [value[done:at], v.values[list(new)]]
+            done = at + length
+        out.append((_total(np.concatenate((*own, value[done:]))), edits))
         u, a = choice[-1]
         if a + 1 < len(losses[u]):
             heapq.heappush(queue, (loss - losses[u][a] + losses[u][a + 1], (*choice[:-1], (u, a + 1))))
@@ -292,7 +333,8 @@ def n_best(units: list[str], v: Pieces, n: int = N_BEST) -> list[tuple[float, li
             heapq.heappush(queue, (loss + losses[u + 1][1], (*choice, (u + 1, 1))))
             if a == 1:
                 heapq.heappush(queue, (loss - losses[u][1] + losses[u + 1][1], (*choice[:-1], (u + 1, 1))))
-    return out
+    # Scores that differ by rounding alone come in their own order.
+    return [out[0], *sorted(out[1:], key=itemgetter(0), reverse=True)]
 
 
 def segment(texts: list[str | None], v: Pieces, n: int = N_BEST) -> Iterator[list]:
