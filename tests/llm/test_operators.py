@@ -786,6 +786,17 @@ def test_scores_are_log_probabilities(pieces):
     assert segmentation.log_probabilities({"a": (0, -1.5), "b": (1, -2.0)}) == {"a": (0, -1.5), "b": (1, -2.0)}, "a unigram model's stay"
 
 
+def test_hashing_words_takes_little_memory_beside_them():
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        line_dedup.token_hashes(["abcdefghi " * 400_000])
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_scores_are_sums_from_the_end(pieces):
     for text in ("the lines of many words \x07 and 漢字 🦄\n\nmore of them, and more " * 5, "hello", ""):
         (found,) = segmentation.segment([text], pieces)

@@ -50,7 +50,7 @@ THRESHOLD_PER_CENT, MIN_TOKENS, SKETCH_BITS, WITNESSES = 80, 5, 20, 4
 #: A token whose bucket counts more occurrences than this is paired.
 FREQUENT = 20_000
 #: Characters of text looked at together, bytes hashed together, and rows of token groups scanned together.
-CHUNK, BLOCK, ROWS = 4_000_000, 8_000_000, 200_000
+CHUNK, BLOCK, ROWS = 4_000_000, 1 << 18, 200_000
 _SLICE, _LEVELS, _SEEN = 1 << 14, 120, 100_000
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 _TO_LOWER = np.frombuffer(_LOWER, np.uint8)
